@@ -1,10 +1,12 @@
 """Queries of the training-data operators and their SQL."""
 
-from bytestrata.llm import bpe, exact_dedup, media
+from bytestrata.llm import bpe, exact_dedup, media, packing, substring_dedup
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_bpe_codec": bpe.op3_bpe_codec,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_media_columns": media.op7_media_columns,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 SQL = {"op5_exact_dedup": exact_dedup.OP5_SQL}
