@@ -41,15 +41,17 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
     """(doc_id, digest, keep_id, group_size, kept), a row for each row of docs."""
     found = classes(docs, digest, salts)
     small = cut(found.select("digest", "keep_id", "group_size"))
-    # one row a digest; `texts` says whether the digest alone tells the group
-    single = small.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     text = F.coalesce("text", F.lit(""))
     columns = ["doc_id", "digest", "keep_id", "group_size"]
-    groups = docs.select("doc_id", digest(text).alias("digest")).join(single.filter("texts = 1"), "digest").select(columns)
-    shared = single.filter("texts > 1").select("digest")
-    if not shared.isEmpty():
+    shared = small.groupBy("digest").count().filter("count > 1").select("digest")
+    ids = docs.select("doc_id", digest(text).alias("digest"))
+    if shared.isEmpty():
+        groups = ids.join(small, "digest").select(columns)
+    else:
+        shared = cut(shared)
+        alone = ids.join(small.join(shared, "digest", "left_anti"), "digest").select(columns)
         whole = docs.select("doc_id", text.alias("text"), digest(text).alias("digest")).join(shared, "digest", "left_semi")
-        groups = groups.unionByName(whole.join(found.join(shared, "digest", "left_semi"), ["digest", "text"]).select(columns))
+        groups = alone.unionByName(whole.join(found.join(shared, "digest", "left_semi"), ["digest", "text"]).select(columns))
     return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
