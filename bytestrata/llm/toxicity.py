@@ -26,15 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm.common import bounded_batches, rows_udf, table
+from bytestrata.llm.common import bounded_batches, cut, rows_udf, table
 
 WINDOW, STRIDE = 24, 16
 #: Buckets of word and n-gram hashes, sizes of both embeddings, of a GRU's state and of the attention; n-grams of a word.
 WORDS, GRAMS, D_WORD, D_CHAR, HIDDEN, ATTENTION, MOST_GRAMS = 1 << 15, 1 << 15, 8, 8, 8, 8, 24
-POSITIVES, NEGATIVES, SAMPLE_WINDOWS = 800, 1800, 12
+POSITIVES, NEGATIVES, SAMPLE_WINDOWS = 800, 2400, 16
 ROUNDS, BATCH, RATE, DECAY = 6, 256, 0.01, 0.002
-#: Training documents that must hold a word or an n-gram for it to count at all; every CALIBRATED-th document is kept for calibration.
-LEAST_WORD, LEAST_GRAM, CALIBRATED = 4, 6, 5
+#: Share of the toxic documents, as a number of documents, that must hold a word or an n-gram for it to count at all, and its least value;
+#: every CALIBRATED-th document is kept for calibration.
+LEAST_WORD, LEAST_GRAM, CALIBRATED = (0.01, 3), (0.02, 4), 5
 #: Distinct words whose inputs a worker remembers; windows scored at a time.
 WORD_MEMO, BLOCK = 120_000, 4096
 FOLDS = 5
@@ -85,7 +86,7 @@ class Network:
         }
         self.known = {"word": np.ones(WORDS, bool), "gram": np.ones(GRAMS, bool)}
         self.forget()
-        self.scale, self.shift = 1.0, 0.0
+        self.shift = 0.0
 
     def forget(self) -> None:
         """Set to zero what is not known."""
@@ -178,18 +179,19 @@ class Network:
             g["u"] += h.transpose(0, 2, 1) @ da
             g["bn"] += (dn * r).sum(1, keepdims=True)
             dh = dh * z + da @ p["u"].transpose(0, 2, 1)
-        words = np.zeros((len(rows), 2, 3 * h_size), np.float32)
-        np.add.at(words[:, 0], inverse, dx[0])
-        np.add.at(words[:, 1], inverse, dx[1, ::-1])
-        words = words.transpose(1, 0, 2)
+        flat = inverse.ravel()
+        order = np.argsort(flat, kind="stable")
+        both = np.stack([dx[0], dx[1, ::-1]]).reshape(2, len(flat), 3 * h_size)
+        words = np.add.reduceat(both[:, order], np.searchsorted(flat[order], np.arange(len(rows))), axis=1)
         g["bx"] = words.sum(1, keepdims=True)
         g["wx"] = inp.T @ words
         dinp = (words @ p["wx"].transpose(0, 2, 1)).sum(0)
         bucket, grams, count = own
-        np.add.at(g["word"], bucket, dinp[:, :D_WORD])
         each = dinp[:, D_WORD:] / np.maximum(count, 1)[:, None]
-        used = grams > 0
-        np.add.at(g["gram"], grams[used], np.repeat(each, used.sum(1), axis=0))
+        used = self.known["gram"][grams]
+        for k, at, what in (("word", bucket, dinp[:, :D_WORD]), ("gram", grams[used], np.repeat(each, used.sum(1), axis=0))):
+            for c in range(what.shape[1]):
+                g[k][:, c] = np.bincount(at, what[:, c], len(g[k]))
         for k, known in self.known.items():
             g[k] += np.float32(DECAY / BATCH) * p[k]
             g[k][~known] = 0
@@ -200,23 +202,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _known(net: Network, features: tuple, doc: np.ndarray, index: np.ndarray, padding: int) -> None:
+def _known(net: Network, features: tuple, doc: np.ndarray, index: np.ndarray, padding: int, positive: int) -> None:
     """Forget buckets that too few documents of the sample hold."""
     pairs = np.unique(doc[:, None] * (padding + 1) + index)
     of, word = pairs // (padding + 1), pairs % (padding + 1)
     bucket, grams, _ = features
+    least_word, least_gram = (max(share * positive, least) for share, least in (LEAST_WORD, LEAST_GRAM))
     held = np.unique(of * WORDS + bucket[word]) % WORDS
-    net.known["word"] &= np.bincount(held, minlength=WORDS) >= LEAST_WORD
+    net.known["word"] &= np.bincount(held, minlength=WORDS) >= least_word
     count = np.zeros(GRAMS, np.int64)
     for k in range(0, len(pairs), 100_000):  # a document that meets a border counts twice there
         both = of[k : k + 100_000, None] * GRAMS + grams[word[k : k + 100_000]]
         count += np.bincount(np.unique(both) % GRAMS, minlength=GRAMS)
-    net.known["gram"] &= count >= LEAST_GRAM
+    net.known["gram"] &= count >= least_gram
     net.forget()
 
 
-def train(documents: list[tuple[int, list[list[str]]]], seed: int = 0) -> Network:
-    """documents: (label, windows of words)."""
+def train(documents: list[tuple[int, list[list[str]]]], clean_weight: float = 1.0, seed: int = 0) -> Network:
+    """documents: (label, windows of words); clean_weight: labelled documents that one of label 0 stands for, over those of label 1."""
     rng, net = np.random.default_rng(seed), Network(seed)
     vocabulary: dict[str, int] = {}
     doc, label, index = [], [], []
@@ -230,7 +233,7 @@ def train(documents: list[tuple[int, list[list[str]]]], seed: int = 0) -> Networ
     index[index < 0] = padding
     doc, label = np.array(doc), np.array(label)
     features = word_features([*vocabulary, ""])
-    _known(net, features, doc, index, padding)
+    _known(net, features, doc, index, padding, sum(y for y, _ in documents))
     held = doc % CALIBRATED == 0
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
 
@@ -240,11 +243,11 @@ def train(documents: list[tuple[int, list[list[str]]]], seed: int = 0) -> Networ
     for turn in range(ROUNDS):
         use = (label == 1) & ~held
         clean = np.flatnonzero((label == 0) & ~held)
-        if turn >= 2:
+        if turn:
             s = scores()
             highest = np.full(len(documents), -np.inf)
             np.maximum.at(highest, doc, s)
-            use &= (s >= highest[doc]) | (s > 0)
+            use &= (s >= highest[doc]) | (s > np.quantile(s[clean], 0.995))
             hard = clean[np.argsort(-s[clean])[: len(clean) // 8]]
             clean = np.concatenate([hard, rng.choice(clean, min(len(clean), 2 * int(use.sum()) + 2000), replace=False)])
         else:
@@ -258,23 +261,21 @@ def train(documents: list[tuple[int, list[list[str]]]], seed: int = 0) -> Networ
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
                 net.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-    # two parameters that turn a document's highest window into a probability; few steps of Newton's method with a small ridge
+    # the threshold: of the documents kept for it, each kind at its weight in the labels, the fewest errors, in the widest gap
     s = scores()
     highest = np.full(len(documents), -np.inf)
     np.maximum.at(highest, doc, s)
-    y = np.array([y for y, _ in documents], float)
+    y = np.array([y for y, _ in documents])
     own = np.arange(len(documents)) % CALIBRATED == 0
     if not 0 < y[own].sum() < own.sum():
         own[:] = True
-    x, y, a, b = highest[own], y[own], 1.0, 0.0
-    for _ in range(40):
-        q = _sigmoid(a * x + b)
-        r, c = q - y, np.maximum(q * (1 - q), 1e-6)
-        g = np.array([(r * x).sum() + 1e-2 * (a - 1), r.sum() + 1e-2 * b])
-        h = np.array([[(c * x * x).sum() + 1e-2, (c * x).sum()], [(c * x).sum(), c.sum() + 1e-2]])
-        da, db = np.linalg.solve(h, g)
-        a, b = a - np.clip(da, -0.5, 0.5), b - np.clip(db, -2, 2)
-    net.scale, net.shift = float(max(a, 0.05)), float(b)
+    order = np.argsort(highest[own], kind="stable")
+    x, y = highest[own][order], y[own][order]
+    errors = np.concatenate([[0], np.cumsum(y == 1)]) + clean_weight * (np.sum(y == 0) - np.concatenate([[0], np.cumsum(y == 0)]))
+    ends = np.concatenate([[x[0] - 2], x, [x[-1] + 2]])
+    gap = np.where(errors <= errors.min() + 1e-9, np.diff(ends), -1)
+    best = int(np.argmax(gap))
+    net.shift = -float(ends[best] + ends[best + 1]) / 2
     return net
 
 
@@ -309,7 +310,7 @@ class Scorer:
         logit = self.net.logits(self.table, np.concatenate(windows), 0)
         highest = np.full(len(split), -np.inf)
         np.maximum.at(highest, np.concatenate(owners), logit)
-        out = _sigmoid(self.net.scale * highest + self.net.shift)
+        out = _sigmoid(highest + self.net.shift)
         return out.tolist()
 
 
@@ -317,10 +318,14 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
-def labelled_windows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, windows) of the bounded training sample."""
+def training_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the documents that may be learned from."""
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return known.join(docs.select("doc_id"), "doc_id", "left_semi")
+
+
+def labelled_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, toxic, windows) of the bounded training sample."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.filter("toxic = 1").orderBy(*order).limit(POSITIVES).unionByName(known.filter("toxic = 0").orderBy(*order).limit(NEGATIVES))
 
@@ -342,11 +347,14 @@ def labelled_windows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Network | float:
     """A network, or the score of every text where one kind of label is missing."""
     bounded_batches(docs.sparkSession)
-    rows = sorted((r["doc_id"], r["toxic"], r["windows"]) for r in labelled_windows(docs, labels).toArrow().to_pylist())
+    known = cut(training_labels(docs, labels))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    rows = sorted((r["doc_id"], r["toxic"], r["windows"]) for r in labelled_windows(docs, known).toArrow().to_pylist())
     positive = sum(y for _, y, _ in rows)
     if not 0 < positive < len(rows):
         return positive / max(len(rows), 1)
-    return train([(y, w) for _, y, w in rows])
+    weight = counts.get(0, 0) / (len(rows) - positive) / (counts[1] / positive)
+    return train([(y, w) for _, y, w in rows], weight)
 
 
 def score(docs: DataFrame, model: Network | float) -> DataFrame:
