@@ -372,6 +372,21 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def keep_clean(docs: DataFrame, model: Network | float) -> DataFrame:
+    """The rows of docs whose text scores below 0.5, with all their columns."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = None if isinstance(sent.value, float) else Scorer(sent.value)
+        for b in batches:
+            texts = [x or "" for x in b.column("text").to_pylist()]
+            yield b.filter(pa.array([s < 0.5 for s in (scorer(texts) if scorer and texts else [sent.value] * len(texts))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents")
