@@ -31,13 +31,15 @@ from bytestrata.llm.common import bounded_batches, rows_udf, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces between white space, and words within them, that a worker remembers; longer ones are not kept.
-PIECE_MEMO, WORD_MEMO, MEMO_LENGTH = 300_000, 200_000, 64
+PIECE_MEMO, WORD_MEMO, MEMO_LENGTH = 300_000, 250_000, 64
 #: Stands behind the last symbol of a word in place of the vocabulary's word-end suffix.
 END = "\0"
 #: Characters that str.split() takes for white space and the vocabulary's pattern does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: The vocabulary's pre-tokenizer pattern, for ASCII text in lower case.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Pieces whose lower case and normal form need no library: characters below U+0180 that are no combination and no special case.
+LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: The vocabulary's pre-tokenizer pattern, for such pieces in lower case.
+LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -69,7 +71,7 @@ class WordEncoder:
             k = self.rank[a + b]
             self.left[k], self.right[k] = self.rank[a], self.rank[b]
             self.pair[self.rank[a], self.rank[b]] = k
-        self.id_of = [self.ids.get(t, -1) for t in self.token]
+        self.id_bytes = [self.ids[t].to_bytes(4, "little") for t in self.token]
         self.length = [len(t) for t in self.token]
         self.shorter = [-1] * len(self.token)
         for t, r in self.rank.items():
@@ -104,9 +106,26 @@ class WordEncoder:
                     if a == was:
                         return True
 
-    def encode(self, word: str) -> list[int]:
-        """word: in the byte alphabet, not empty, without a suffix."""
+    def encode(self, word: str) -> bytes:
+        """Ids of a word in the byte alphabet, not empty, without a suffix."""
         s, n = word + END, len(word) + 1
+        # mostly the longest entries, one after the other, can stand side by side
+        out: list[int] = []
+        at = 0
+        for end, r in self.automaton.iter_long(s):
+            if out and not self.compatible(out[-1], r):
+                break
+            out.append(r)
+            at += self.length[r]
+            if at != end + 1:
+                break
+        else:
+            if at == n:
+                return b"".join(map(self.id_bytes.__getitem__, out))
+        return self.walk(s, n)
+
+    def walk(self, s: str, n: int) -> bytes:
+        """With steps back."""
         longest = [-1] * n
         length = self.length
         for end, r in self.automaton.iter(s):
@@ -124,7 +143,7 @@ class WordEncoder:
                 out.append(r)
                 at += length[r]
                 if at == n:
-                    return [self.id_of[x] for x in out]
+                    return b"".join(map(self.id_bytes.__getitem__, out))
                 r = longest[at]
             else:
                 alive[at] = 0
@@ -145,8 +164,12 @@ class Codec:
         self.alphabet = byte_alphabet()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.as_bytes = str.maketrans({b: c for b, c in enumerate(self.alphabet)})
+        # memos of two generations each: when one is full it becomes the old one, and what is still met moves over
         self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
         strings = [b""] * size
         for t, i in [*model["vocab"].items(), *self.special.items()]:
@@ -156,33 +179,39 @@ class Codec:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
 
     def word(self, word: str) -> bytes:
-        """word: in the byte alphabet."""
-        ids = self.known.get(word)
+        """A word of the pre-tokenizer."""
+        ids = self.old_known.get(word)
         if ids is None:
-            ids = np.array(self.words.encode(word), "<u4").tobytes()
-            if len(word) <= MEMO_LENGTH:
-                if len(self.known) >= WORD_MEMO:
-                    self.known.clear()
-                self.known[word] = ids
+            ids = self.words.encode(word.encode().decode("latin-1").translate(self.as_bytes))
+        if len(word) <= MEMO_LENGTH:
+            if len(self.known) >= WORD_MEMO:
+                self.old_known, self.known = self.known, {}
+            self.known[word] = ids
         return ids
 
+    def split(self, text: str) -> bytes:
+        """Any text, normalised and split by the library."""
+        normal = self.library.normalizer.normalize_str(text)
+        return b"".join(self.words.encode(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
+
     def piece(self, piece: str) -> bytes:
         """A piece of text without white space."""
-        if piece.isascii() and piece.isprintable():
-            ids = b"".join(map(self.word, ASCII_WORDS.findall(piece.lower())))
-        else:
-            normal = self.library.normalizer.normalize_str(piece)
-            ids = b"".join(self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
+        ids = self.old_pieces.get(piece)
+        if ids is None:
+            if LATIN.fullmatch(piece):
+                known = self.known.get
+                ids = b"".join([known(w) or self.word(w) for w in LATIN_WORDS.findall(piece.lower())])
+            else:
+                ids = self.split(piece)
         if len(piece) <= MEMO_LENGTH:
             if len(self.pieces) >= PIECE_MEMO:
-                self.pieces.clear()
+                self.old_pieces, self.pieces = self.pieces, {}
             self.pieces[piece] = ids
         return ids
 
     def plain(self, text: str) -> bytes:
         if SEPARATORS.search(text):
-            normal = self.library.normalizer.normalize_str(text)
-            return b"".join(self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
+            return self.split(text)
         pieces = text.split()
         found = [*map(self.pieces.get, pieces)]
         if None in found:
