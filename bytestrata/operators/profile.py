@@ -77,9 +77,10 @@ def byte_histogram(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 def ngram_rarity(docs: DataFrame, n: int = 4) -> DataFrame:
     """(grams, once, most): distinct n-grams of characters in all texts, how many occur once, and the count of the most frequent."""
-    size = F.length("text")
-    at = F.explode(F.sequence(F.lit(1), size - (n - 1)))
-    grams = docs.filter(size >= n).select("text", at.alias("at")).select(F.substring(F.col("text"), F.col("at"), F.lit(n)).alias("gram"))
+    chars = docs.filter(F.length("text") >= n).select(F.split("text", "").alias("chars"))
+    c = F.col("chars")
+    every = F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.concat(*(F.element_at(c, (i + k).cast("int")) for k in range(n))))
+    grams = chars.select(F.explode(every).alias("gram"))
     counts = grams.groupBy("gram").count()
     return counts.agg(F.count(F.lit(1)).alias("grams"), F.count_if(F.col("count") == 1).alias("once"), F.max("count").alias("most"))
 

@@ -61,6 +61,19 @@ def earlier_match(value: Column, keys: list[str], order: list[str]) -> Column:
     return F.last(value).over(ordered(keys, order).rowsBetween(Window.unboundedPreceding, -1))
 
 
+def recent_ranks(rows: DataFrame, keys: list[str], order: list[str], symbol: str) -> DataFrame:
+    """rows with `rank`: how many other symbols of the key came since the symbol's last row. Each row meets the symbols of its key, so this is
+    for alphabets, whose size is bounded, not for identifiers."""
+    placed = rows.withColumn("_pos", F.row_number().over(ordered(keys, order)))
+    alphabet = rows.select(*keys, F.col(symbol).alias("_symbol")).distinct()
+    before = ordered([*keys, "_symbol"], ["_pos"]).rowsBetween(Window.unboundedPreceding, -1)
+    grid = placed.select(*keys, "_pos", symbol).join(alphabet, keys).withColumn("_last", F.max(F.when(F.col(symbol) == F.col("_symbol"), F.col("_pos"))).over(before))
+    own = F.max(F.when(F.col(symbol) == F.col("_symbol"), F.col("_last")))
+    ranks = grid.groupBy(*keys, "_pos").agg(own.alias("_own"), F.collect_list("_last").alias("_lasts"))
+    rank = F.when(F.col("_own").isNotNull(), F.size(F.filter("_lasts", lambda x: x > F.col("_own"))).cast("long"))
+    return placed.join(ranks.select(*keys, "_pos", rank.alias("rank")), [*keys, "_pos"]).drop("_pos")
+
+
 def mid_side(left: Column, right: Column) -> tuple[Column, Column]:
     """Half the sum, rounded down, and the difference: both can be undone."""
     side = left - right
