@@ -7,10 +7,12 @@ linked if an alignment of the labelled k-mers within a band matches at least THR
 alignment that can).
 
 A bucket of m texts is not made into m * m pairs. Each text is compared with the bucket's hub, the text that shares most slots with
-others. Texts that did not come into the hub's class become hubs themselves, ever more at a time, and are compared with all texts
-of other classes in the bucket that agree in AGREE slots, until none is left: then every pair in a bucket has been compared or is in
-one class. A pair at the threshold agrees in no slot with a chance of (1 - 0.8 ** TAKEN) ** SLOTS = 1e-5, and in
-fewer than AGREE with 2e-4. Classes are the connected components of the links.
+others, which settles all but few buckets. In those that still hold more than one class, texts outside the hub's class are held against the
+others by their signatures (LEAST_KMERS bytes), in tasks of at most GROUP texts, and only pairs that agree in AGREE slots and at least
+ESTIMATE of the signature go on to the alignment. A larger bucket is dealt into smaller ones by parts of the signature, TREES times
+in different ways and deeper until they fit. A pair at the threshold agrees in no slot with a chance of
+(1 - 0.8 ** TAKEN) ** SLOTS = 1e-5, in fewer than AGREE with 2e-4, and falls under ESTIMATE with 7e-4. Classes are the connected
+components of the links.
 
 Defined cases: texts with equal words are one class from the start; null and empty texts are equal texts; texts without any word
 are compared as they are; a text with fewer than KMER words is one k-mer; texts may be of any length; the class is named by its
@@ -34,6 +36,8 @@ from bytestrata.llm.common import WordHashes, bounded_batches, cut, mixed, rows_
 
 KMER, THRESHOLD = 5, 0.8
 SLOTS, TAKEN, AGREE = 16, 3, 2
+#: Bytes of a signature, least share of them for a candidate, texts of a task, and ways to deal a larger bucket.
+LEAST_KMERS, ESTIMATE, GROUP, TREES = 256, 0.72, 2048, 32
 #: K-mers hashed at a time.
 BLOCK = 1 << 15
 BASE = 0xD6E8FEB86659FD93
@@ -87,6 +91,18 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+_signature_seeds = mixed(np.arange(1, LEAST_KMERS + 1, dtype=np.uint64) * np.uint64(BASE ^ (BASE << 7) & (1 << 64) - 1))
+
+
+def signature(kmers: np.ndarray) -> bytes:
+    """A byte of the least of all k-mers under each of LEAST_KMERS hashes."""
+    least = np.full(LEAST_KMERS, ~np.uint64(0))
+    for at in range(0, len(kmers), 1024):
+        x = (kmers[None, at : at + 1024] ^ _signature_seeds[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(1))
+    return (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Share of the union of labelled k-mers that the best alignment within the band matches; 0 where it is below threshold."""
     if not len(a) or not len(b):
@@ -175,18 +191,102 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(labels.join(moved, "label", "left").select("rep", F.coalesce("to", "label").alias("label")))
 
 
+def _main_labels(hubs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, main): the class of each bucket's hub."""
+    return hubs.join(labels.select(F.col("rep").alias("hub"), F.col("label").alias("main")), "hub").select("bucket", "main")
+
+
+def _candidates(rows: pa.Table) -> pa.Table:
+    """Pairs of one bucket, of different classes, with one text outside the hub's class, that are near by their signatures."""
+    rep, n = rows.column("rep").to_numpy(), rows.column("n").to_numpy()
+    _, label = np.unique(rows.column("label").to_numpy(), return_inverse=True)
+    open_ = np.flatnonzero(rows.column("open").to_numpy(zero_copy_only=False))
+    slot = int(rows.column("slot")[0].as_py())
+    slots = np.array(rows.column("slots").to_pylist(), np.int64)
+    signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(len(rep), LEAST_KMERS)
+    found = []
+    for at in range(0, len(open_), 128):
+        own = open_[at : at + 128]
+        agree = np.zeros((len(own), len(rep)), np.uint8)
+        fits = (label[own][:, None] != label[None, :]) & (np.minimum(n[own][:, None], n[None, :]) >= THRESHOLD * np.maximum(n[own][:, None], n[None, :]))
+        for k in range(SLOTS):
+            same = slots[own, k][:, None] == slots[None, :, k]
+            if k < slot:
+                fits &= ~same  # the pair is met in the bucket of that slot
+            agree += same
+        i, j = np.nonzero(fits & (agree >= AGREE))
+        for part in range(0, len(i), 1 << 15):
+            x, y = own[i[part : part + (1 << 15)]], j[part : part + (1 << 15)]
+            near = (signs[x] == signs[y]).sum(1) >= ESTIMATE * LEAST_KMERS
+            found.append(np.stack([np.minimum(rep[x[near]], rep[y[near]]), np.maximum(rep[x[near]], rep[y[near]])]))
+    both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+
+def _settle(members: DataFrame, hubs: DataFrame, labels: DataFrame, words: DataFrame, group: int = GROUP) -> DataFrame:
+    """labels after the pairs in buckets that are not of one class have been compared."""
+    main = _main_labels(hubs, labels)
+    open_buckets = members.select("bucket", "rep").join(labels, "rep").join(main, "bucket").filter("label != main").groupBy("bucket").agg(F.first("main").alias("main"))
+    rest = cut(members.join(open_buckets, "bucket").join(labels, "rep").select("bucket", "slot", "rep", "label", (F.col("label") != F.col("main")).alias("open")))
+    if rest.isEmpty():
+        return labels
+
+    def signs(rep: list, packed: list) -> dict:
+        unpack = zstandard.ZstdDecompressor().decompress
+        return {"rep": rep, "sign": [signature(labelled(unpack(w).split())) for w in packed]}
+
+    schema = pa.schema([("rep", pa.int64()), ("sign", pa.binary())])
+    drawn = words.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "words").mapInArrow(rows_udf(["rep", "words"], schema, signs), "rep long, sign binary")
+    known = members.groupBy("rep").agg(F.first("n").alias("n"), F.first("slots").alias("slots"))
+    known = cut(known.join(drawn, "rep"))
+    sized = cut(rest.groupBy("bucket").count())
+    small = rest.join(sized.filter(F.col("count") <= group).select("bucket"), "bucket")
+    large, depth = rest.join(sized.filter(F.col("count") > group).select("bucket"), "bucket"), 2
+    found, ready = "a long, b long", [small]
+    large = cut(large.join(known.select("rep", "sign"), "rep").withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(TREES)))))
+    while not large.isEmpty():
+        # `depth` bytes of the signature, others in each tree, part a bucket
+        own = [F.substring("sign", F.pmod(F.col("tree") * 37 + k * 11, F.lit(LEAST_KMERS)) + 1, F.lit(1)) for k in range(depth)]
+        dealt = cut(large.withColumn("part", F.xxhash64("bucket", "tree", *own)))
+        counts = cut(dealt.groupBy("part").count())
+        fit = dealt.join(counts.filter((F.col("count") <= group) & (F.col("count") > 1)).select("part"), "part")
+        ready.append(fit.select(F.col("part").alias("bucket"), F.lit(0).alias("slot"), "rep", "label", "open"))
+        large = cut(dealt.join(counts.filter(F.col("count") > group).select("part"), "part").drop("part"))
+        if depth >= 64:  # texts whose signatures are all but equal: the least of them stands for the others
+            least = dealt.join(counts.filter(F.col("count") > group).select("part"), "part").groupBy("part").agg(F.min("rep").alias("b"))
+            links = dealt.join(least, "part").filter("rep != b").select(F.col("rep").alias("a"), "b").distinct()
+            return _joined(_compare(ready, known, labels, words, found), verified(links, words))
+        depth *= 2
+    return _compare(ready, known, labels, words, found)
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after links between texts."""
+    named = links.join(labels.select(F.col("rep").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("rep").alias("b"), F.col("label").alias("y")), "b")
+    return components(labels, named.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def _compare(ready: list[DataFrame], known: DataFrame, labels: DataFrame, words: DataFrame, found: str) -> DataFrame:
+    """labels after the pairs in the buckets of `ready`, none larger than GROUP."""
+    pairs = None
+    for part in ready:
+        own = part.join(known, "rep").select("bucket", "slot", "rep", "n", "label", "open", "slots", "sign").groupBy("bucket").applyInArrow(_candidates, found)
+        pairs = own if pairs is None else pairs.unionByName(own)
+    return _joined(labels, verified(cut(pairs.distinct()), words))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, kept), a row for each row of docs."""
     bounded_batches(docs.sparkSession)
     named = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     drawn = cut(sketches(named))
     texts = cut(drawn.groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("slots").alias("slots")))
-    slots = texts.select("rep", F.posexplode("slots").alias("slot", "value")).select("rep", F.xxhash64("slot", "value").alias("bucket"))
+    slots = texts.select("rep", F.posexplode("slots").alias("slot", "value")).select("rep", "slot", F.xxhash64("slot", "value").alias("bucket"))
     sizes = slots.groupBy("bucket").count().filter("count > 1")
     member = slots.join(sizes, "bucket")
     central = member.groupBy("rep").agg(F.sum("count").alias("central"))
     known = texts.select("rep", "n", "slots").join(central, "rep")
-    members = cut(slots.join(sizes.select("bucket"), "bucket").join(known, "rep").select("bucket", "rep", "n", "central", "slots"))
+    members = cut(slots.join(sizes.select("bucket"), "bucket").join(known, "rep").select("bucket", "slot", "rep", "n", "central", "slots"))
 
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     words = cut(packed_words(named).join(ids.withColumnRenamed("doc_id", "rep"), "rep").dropDuplicates(["rep"]))
@@ -198,26 +298,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = first.join(lengths.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub").filter(alike)
     links = verified(first.select(F.col("rep").alias("a"), F.col("hub").alias("b")), words)
     labels = components(lengths.select("rep", F.col("rep").alias("label")), links)
-
-    tested, turn = hubs.select("bucket", F.col("hub").alias("rep")), 0
-    while True:
-        turn += 1
-        current = members.join(labels, "rep")
-        main = hubs.join(labels.select(F.col("rep").alias("hub"), F.col("label").alias("main")), "hub").select("bucket", "main")
-        open_ = current.join(main, "bucket").filter("label != main").join(tested, ["bucket", "rep"], "left_anti")
-        chosen = open_.groupBy("bucket", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << min(turn, 30))).alias("part")).agg(order)
-        next_hubs = cut(chosen.select("bucket", (-F.col("best.minus")).alias("rep")))
-        if next_hubs.isEmpty():
-            break
-        hub = next_hubs.join(current, ["bucket", "rep"]).select("bucket", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("slots").alias("hub_slots"), F.col("label").alias("hub_label"))
-        agree = F.size(F.filter(F.arrays_zip(F.col("slots").alias("x"), F.col("hub_slots").alias("y")), lambda z: z["x"] == z["y"])) >= AGREE
-        left, right = current.alias("l"), hub.alias("r")
-        met = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("label") != F.col("hub_label")) & alike & agree)
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), F.col("label"), F.col("hub_label"), F.col("rep"), F.col("hub")).dropDuplicates(["a", "b"])
-        links = verified(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b")), words)
-        named_links = links.join(labels.select(F.col("rep").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("rep").alias("b"), F.col("label").alias("y")), "b")
-        labels = components(labels, named_links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        tested = cut(tested.unionByName(next_hubs))
+    labels = _settle(members, hubs, labels, words)
 
     classes = texts.select("words_key", "rep").join(labels, "rep", "left").select("words_key", F.coalesce("label", "rep").alias("class_id"))
     found = drawn.select("doc_id", "words_key").join(classes, "words_key").select("doc_id", "class_id")
