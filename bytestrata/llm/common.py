@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytestrata.session import ship
+
 #: Used only where the session names no folder (tests); a cluster sets spark.checkpoint.dir to a shared one.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Rows and bytes of one Arrow batch sent to a Python worker: long texts must not make a batch of gigabytes.
@@ -25,6 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch limits to what a worker holds; lower settings of the user stay."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = int(spark.conf.get(key).rstrip("b"))
         if now <= 0 or now > most:
