@@ -206,18 +206,20 @@ def _joined(spans: str) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """docs with each span's text replaced by its kind in brackets and n_chars following, where docs has it; null texts stay null."""
     bounded_batches(docs.sparkSession)
-    columns, schema = docs.columns, docs.schema
+    columns, schema, name = docs.columns, docs.schema, "__added"
+    while name in columns:
+        name += "_"
     added = cut(added_spans(docs))
     if added.isEmpty():
-        rows = docs.withColumn("__added", F.lit(None).cast(f"array<struct<text_key:long,added:{_SPAN}>>"))
+        rows = docs.withColumn(name, F.lit(None).cast(f"array<struct<text_key:long,added:{_SPAN}>>"))
     else:
-        own = added.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "added")).alias("__added")).withColumnRenamed("doc_id", "__of")
-        rows = docs.join(own, docs["doc_id"].eqNullSafe(own["__of"]), "left").select(*(docs[c] for c in columns), "__added")
+        own = added.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "added")).alias(name)).withColumnRenamed("doc_id", "__of")
+        rows = docs.join(own, docs["doc_id"].eqNullSafe(own["__of"]), "left").select(*(docs[c] for c in columns), own[name])
 
     def run(batches):
         for b in batches:
             text, count = [], []
-            for t, more in zip(b.column("text").to_pylist(), b.column("__added").to_pylist(), strict=True):
+            for t, more in zip(b.column("text").to_pylist(), b.column(name).to_pylist(), strict=True):
                 if t is not None:
                     extra = [x for y in more or () if y["text_key"] == _key(t) for x in y["added"]]
                     spans = sorted([(a, z, k) for k, a, z in base_spans(t)] + [(x["start"], x["end"], x["kind"]) for x in extra])
