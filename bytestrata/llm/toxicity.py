@@ -22,43 +22,63 @@ import string
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm.common import bounded_batches, cut, rows_udf, table
+from bytestrata.llm.common import bounded_batches, cut, mixed, rows_udf, table
 
 WINDOW, STRIDE = 24, 16
-#: Buckets of word and n-gram hashes, sizes of both embeddings, of a GRU's state and of the attention; n-grams of a word.
-WORDS, GRAMS, D_WORD, D_CHAR, HIDDEN, ATTENTION, MOST_GRAMS = 1 << 15, 1 << 15, 8, 8, 8, 8, 24
+#: Buckets of word and n-gram hashes, sizes of both embeddings, of a GRU's state and of the attention.
+WORDS, GRAMS, D_WORD, D_CHAR, HIDDEN, ATTENTION = 1 << 15, 1 << 15, 8, 8, 8, 8
 POSITIVES, NEGATIVES, SAMPLE_WINDOWS = 800, 2400, 16
 ROUNDS, BATCH, RATE, DECAY = 6, 256, 0.01, 0.002
+#: Steps of a round at least: a small sample is gone through more than once.
+LEAST_STEPS = 30
 #: Share of the toxic documents, as a number of documents, that must hold a word or an n-gram for it to count at all, and its least value;
 #: every CALIBRATED-th document is kept for calibration.
 LEAST_WORD, LEAST_GRAM, CALIBRATED = (0.01, 3), (0.02, 4), 5
 #: Distinct words whose inputs a worker remembers; windows scored at a time.
-WORD_MEMO, BLOCK = 120_000, 4096
+WORD_MEMO, BLOCK = 200_000, 4096
 FOLDS = 5
 _STRIP = string.punctuation + string.whitespace
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket, n-gram buckets (padded with 0) and their number; bucket 0 stands for nothing."""
-    bucket = np.zeros(len(words), np.int64)
-    grams = np.zeros((len(words), MOST_GRAMS), np.int64)
-    count = np.zeros(len(words), np.int64)
-    for k, w in enumerate(words):
-        w = w.strip(_STRIP).lower()
-        if not w:
-            continue
-        bucket[k] = xxhash.xxh3_64_intdigest(w) % (WORDS - 1) + 1
-        w = f"<{w}>"
-        own = [xxhash.xxh3_64_intdigest(w[i : i + n]) % (GRAMS - 1) + 1 for n in (3, 4, 5) for i in range(len(w) - n + 1)]
-        if len(own) > MOST_GRAMS:  # of a long word the lowest hashes, wherever they stand
-            own = sorted(set(own))[:MOST_GRAMS]
-        grams[k, : len(own)] = own
-        count[k] = len(own)
-    return bucket, grams, count
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each word, the buckets of all words' n-grams of 3 to 5 characters in a row, where a word's begin, and how many they are.
+    Bucket 0 stands for nothing."""
+    marked = [f"<{w}>" if (w := x.strip(_STRIP).lower()) else "" for x in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([*map(len, marked)], np.int64)
+    end = np.cumsum(size)
+    left = np.repeat(end, size) - np.arange(len(codes))  # characters from here to the word's end
+    word = np.repeat(np.arange(len(words)), size)
+    h, parts, owners = np.zeros(len(codes), np.uint64), [], []
+    for n in range(1, 6):
+        h[: len(codes) - n + 1] = h[: len(codes) - n + 1] * _FACTOR + mixed(codes[n - 1 :] + np.uint64(n))
+        if n >= 3:
+            own = np.flatnonzero(left >= n)
+            parts.append(mixed(h[own]) % np.uint64(GRAMS - 1) + np.uint64(1))
+            owners.append(word[own])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    grams = np.concatenate(parts)[order].astype(np.int64)
+    count = np.bincount(owner, minlength=len(words))
+    total = np.zeros(len(words), np.uint64)
+    place = (np.arange(len(codes)) - np.repeat(end - size, size)).astype(np.uint64)
+    np.add.at(total, word, mixed(codes * _FACTOR + place))
+    bucket = np.where(size > 0, (mixed(total) % np.uint64(WORDS - 1)).astype(np.int64) + 1, 0)
+    return bucket, grams, np.cumsum(count) - count, count
+
+
+def chosen_features(features: tuple, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    bucket, grams, start, count = features
+    count = count[rows]
+    end = np.cumsum(count)
+    at = np.repeat(start[rows] - (end - count), count) + np.arange(end[-1] if len(end) else 0)
+    return bucket[rows], grams[at], end - count, count
 
 
 def windows_of(n: int) -> np.ndarray:
@@ -94,9 +114,12 @@ class Network:
             known[0] = False
             self.p[k][~known] = 0
 
-    def inputs(self, bucket: np.ndarray, grams: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def inputs(self, bucket: np.ndarray, grams: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Embedded words."""
-        chars = self.p["gram"][grams].sum(1) / np.maximum(count, 1)[:, None]
+        chars = np.zeros((len(bucket), D_CHAR), self.p["gram"].dtype)
+        if len(grams):
+            chars[count > 0] = np.add.reduceat(self.p["gram"][grams], start[count > 0], axis=0)
+        chars /= np.maximum(count, 1)[:, None]
         return np.concatenate([self.p["word"][bucket], chars], axis=1).astype(np.float32)
 
     def projected(self, inputs: np.ndarray) -> np.ndarray:
@@ -147,7 +170,7 @@ class Network:
         """Of the mean log loss, for windows of rows of features."""
         p, h_size = self.p, HIDDEN
         rows, inverse = np.unique(index.T, return_inverse=True)
-        own = tuple(f[rows] for f in features)
+        own = chosen_features(features, rows)
         inp = self.inputs(*own)
         inverse = inverse.reshape(index.T.shape)
         x = self.projected(inp)[inverse]
@@ -186,10 +209,10 @@ class Network:
         g["bx"] = words.sum(1, keepdims=True)
         g["wx"] = inp.T @ words
         dinp = (words @ p["wx"].transpose(0, 2, 1)).sum(0)
-        bucket, grams, count = own
+        bucket, grams, _, count = own
         each = dinp[:, D_WORD:] / np.maximum(count, 1)[:, None]
         used = self.known["gram"][grams]
-        for k, at, what in (("word", bucket, dinp[:, :D_WORD]), ("gram", grams[used], np.repeat(each, used.sum(1), axis=0))):
+        for k, at, what in (("word", bucket, dinp[:, :D_WORD]), ("gram", grams[used], np.repeat(each, count, axis=0)[used])):
             for c in range(what.shape[1]):
                 g[k][:, c] = np.bincount(at, what[:, c], len(g[k]))
         for k, known in self.known.items():
@@ -206,14 +229,14 @@ def _known(net: Network, features: tuple, doc: np.ndarray, index: np.ndarray, pa
     """Forget buckets that too few documents of the sample hold."""
     pairs = np.unique(doc[:, None] * (padding + 1) + index)
     of, word = pairs // (padding + 1), pairs % (padding + 1)
-    bucket, grams, _ = features
+    bucket = features[0]
     least_word, least_gram = (max(share * positive, least) for share, least in (LEAST_WORD, LEAST_GRAM))
     held = np.unique(of * WORDS + bucket[word]) % WORDS
     net.known["word"] &= np.bincount(held, minlength=WORDS) >= least_word
     count = np.zeros(GRAMS, np.int64)
     for k in range(0, len(pairs), 100_000):  # a document that meets a border counts twice there
-        both = of[k : k + 100_000, None] * GRAMS + grams[word[k : k + 100_000]]
-        count += np.bincount(np.unique(both) % GRAMS, minlength=GRAMS)
+        _, own, _, n = chosen_features(features, word[k : k + 100_000])
+        count += np.bincount(np.unique(np.repeat(of[k : k + 100_000], n) * GRAMS + own) % GRAMS, minlength=GRAMS)
     net.known["gram"] &= count >= least_gram
     net.forget()
 
@@ -249,10 +272,12 @@ def train(documents: list[tuple[int, list[list[str]]]], clean_weight: float = 1.
             np.maximum.at(highest, doc, s)
             use &= (s >= highest[doc]) | (s > np.quantile(s[clean], 0.995))
             hard = clean[np.argsort(-s[clean])[: len(clean) // 8]]
-            clean = np.concatenate([hard, rng.choice(clean, min(len(clean), 2 * int(use.sum()) + 2000), replace=False)])
+            clean = np.concatenate([hard, rng.choice(clean, min(len(clean), 4 * int(use.sum()) + 300), replace=False)])
         else:
-            clean = rng.choice(clean, min(len(clean), 2 * int(use.sum()) + 2000), replace=False)
-        chosen = rng.permutation(np.concatenate([np.flatnonzero(use), clean]))
+            clean = rng.choice(clean, min(len(clean), 4 * int(use.sum()) + 300), replace=False)
+        chosen = np.concatenate([np.flatnonzero(use), clean])
+        passes = -(-LEAST_STEPS // max(1, -(-len(chosen) // BATCH)))
+        chosen = np.concatenate([rng.permutation(chosen) for _ in range(passes)])
         rate = RATE * (1 if turn < ROUNDS - 2 else 0.3)
         for at in range(0, len(chosen), BATCH):
             own = chosen[at : at + BATCH]
@@ -288,18 +313,23 @@ class Scorer:
 
     def _empty(self) -> None:
         self.row: dict[str, int] = {}
-        self.table = np.zeros((1, 2, 3 * HIDDEN), np.float32)
+        self.table = np.zeros((WORD_MEMO + 1, 2, 3 * HIDDEN), np.float32)
         self.table[0] = self.net.projected(self.net.inputs(*word_features([""])))[0]
 
     def __call__(self, texts: list[str]) -> list[float]:
         """Row 0 of the table is padding."""
         split = [t.split() for t in texts]
-        if len(self.row) > WORD_MEMO:
+        met = set().union(*split)
+        new = [w for w in met if w not in self.row]
+        if len(self.row) + len(new) > WORD_MEMO:
             self._empty()
-        new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in self.row]
+            new = [*met]
         if new:
-            self.row.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.net.projected(self.net.inputs(*word_features(new)))])
+            at = len(self.row) + 1
+            if at + len(new) > len(self.table):  # one batch of more words than the memo holds
+                self.table = np.concatenate([self.table, np.zeros((at + len(new) - len(self.table), 2, 3 * HIDDEN), np.float32)])
+            self.row.update(zip(new, range(at, at + len(new)), strict=True))
+            self.table[at : at + len(new)] = self.net.projected(self.net.inputs(*word_features(new)))
         out = []
         windows, owners = [], []
         for k, s in enumerate(split):
