@@ -117,8 +117,8 @@ def glob_regex(glob: str) -> str:
             out += "."
         elif c == "[" and "]" in glob[k + 2 :]:
             end = glob.index("]", k + 2)
-            body = glob[k + 1 : end].replace("\\", r"\\")
-            out += "[" + ("^" + body[1:] if body[0] == "!" else body) + "]"
+            body = glob[k + 1 : end]
+            out += "[" + "^" * (body[0] == "!") + "".join("\\" + x if x in r"\[]&^" else x for x in body[body[0] == "!" :]) + "]"
             k = end
         else:
             out += "\\" + c if c in r"\.+(){}^$|[]" else c
