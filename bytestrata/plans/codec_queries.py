@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytestrata.operators import byte_transforms, codecs, segment
+from bytestrata.session import spread
 from bytestrata.sources.catalog import table
 from bytestrata.streaming import events as streams
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
 def _round_trip(name: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return codecs.round_trip(table(spark, d, "documents").select("doc_id", "text"), codecs.CODECS[name]).select("doc_id", "raw_length", "sha256")
+        return codecs.round_trip(_documents(spark, d).select("doc_id", "text"), codecs.CODECS[name]).select("doc_id", "raw_length", "sha256")
 
     return query
 
@@ -31,13 +36,13 @@ def _transform(name: str, source: str = "documents", key: str = "doc_id", column
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha)], [key, "sha256"])
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return table(spark, d, source).select(key, column).mapInArrow(run, f"{key} long, sha256 string")
+        return spread(table(spark, d, source)).select(key, column).mapInArrow(run, f"{key} long, sha256 string")
 
     return query
 
 
 def stored_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return codecs.coded(table(spark, d, "documents").select("doc_id", "text"), codecs.CODECS["huffman"]).select("doc_id", "raw_length", "stored", F.octet_length("block").cast("long").alias("coded_length"))
+    return codecs.coded(_documents(spark, d).select("doc_id", "text"), codecs.CODECS["huffman"]).select("doc_id", "raw_length", "stored", F.octet_length("block").cast("long").alias("coded_length"))
 
 
 def huffman_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -48,19 +53,19 @@ def huffman_cost(spark: SparkSession, d: str) -> DataFrame:
             cost = [codecs.huffman_cost(np.bincount(np.frombuffer((t or "").encode(), np.uint8), minlength=256)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cost, pa.int64())], ["doc_id", "bits"])
 
-    return table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, bits long")
+    return _documents(spark, d).select("doc_id", "text").mapInArrow(run, "doc_id long, bits long")
 
 
 def segment_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Parts put together again: bytes and digest of each text."""
-    parts = segment.segment_documents(table(spark, d, "documents"))
+    parts = segment.segment_documents(_documents(spark, d))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "bytes"))), lambda x: F.hex(x["bytes"])), "")
     joined = parts.groupBy("doc_id").agg(F.sum(F.octet_length("bytes")).cast("long").alias("bytes"), F.sha2(F.unhex(whole), 256).alias("sha256"))
     return joined
 
 
 def segment_cuts(spark: SparkSession, d: str) -> DataFrame:
-    return segment.segment_documents(table(spark, d, "documents")).select("doc_id", "part", "off", F.octet_length("bytes").alias("size"))
+    return segment.segment_documents(_documents(spark, d)).select("doc_id", "part", "off", F.octet_length("bytes").alias("size"))
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:

@@ -9,11 +9,12 @@ from bytestrata.functions import checksums
 from bytestrata.functions import profile as p
 from bytestrata.operators import profile, verify
 from bytestrata.operators.profile import log_table
+from bytestrata.session import spread
 from bytestrata.sources.catalog import table
 
 
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("payload"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.encode("text", "UTF-8").alias("payload"))
 
 
 def checksum_fletcher(spark: SparkSession, d: str) -> DataFrame:
@@ -99,15 +100,15 @@ def digit_dot_fits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order1_entropy_fixed(spark: SparkSession, d: str) -> DataFrame:
-    return profile.order1_entropy(table(spark, d, "documents"))
+    return profile.order1_entropy(spread(table(spark, d, "documents")))
 
 
 def ngram_rarity(spark: SparkSession, d: str) -> DataFrame:
-    return profile.ngram_rarity(table(spark, d, "documents"))
+    return profile.ngram_rarity(spread(table(spark, d, "documents")))
 
 
 def noise_score(spark: SparkSession, d: str) -> DataFrame:
-    return profile.noise(table(spark, d, "documents"))
+    return profile.noise(spread(table(spark, d, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (checksum_fletcher, checksum_crc32, checksum_crc16, checksum_crc64, crc64_pieces_merge, slice_merge_runs, selfcheck_join, multi_stream_merge, byte_histogram, profile_text_flags, html_fits, digit_dot_fits, order1_entropy_fixed, ngram_rarity, noise_score)}

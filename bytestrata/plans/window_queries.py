@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bytestrata.functions.formatting import case_mode
 from bytestrata.operators import text_transforms as tt
 from bytestrata.operators import windows as w
+from bytestrata.session import spread
 from bytestrata.sources.catalog import table
 
 USER = ["user_id"], ["ts", "event_id"]
@@ -40,7 +41,7 @@ def equal_value_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_prefix_rle(spark: SparkSession, d: str) -> DataFrame:
-    return w.line_prefixes(table(spark, d, "documents")).select("doc_id", "line_no", "shared", F.length("rest").cast("long").alias("rest_length"))
+    return w.line_prefixes(spread(table(spark, d, "documents"))).select("doc_id", "line_no", "shared", F.length("rest").cast("long").alias("rest_length"))
 
 
 def last_n_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +71,7 @@ def raster_gradient(spark: SparkSession, d: str) -> DataFrame:
 
 
 def longrange_dups(spark: SparkSession, d: str) -> DataFrame:
-    return tt.long_range_duplicates(table(spark, d, "documents"))
+    return tt.long_range_duplicates(spread(table(spark, d, "documents")))
 
 
 def mask_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +105,7 @@ def word_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dict_encode_join(spark: SparkSession, d: str) -> DataFrame:
-    return tt.dictionary_encode(table(spark, d, "documents"))
+    return tt.dictionary_encode(spread(table(spark, d, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (delta_series, delta_restore, zigzag_deltas, equal_value_runs, line_prefix_rle, last_n_targets, asof_match, recent_ranks, mid_side, raster_gradient, longrange_dups, mask_numbers, number_values, crlf_normalise, insert_lf, html_tag_stats, word_cases, dict_encode_join)}

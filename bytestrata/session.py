@@ -15,3 +15,9 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([*paths, ROOT])
+
+
+def spread(df):
+    """df over all cores where its files make fewer partitions than there are; larger inputs stay as they are, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
