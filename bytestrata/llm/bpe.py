@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from bytestrata.llm.common import bounded_batches, rows_udf, table
+from bytestrata.llm.common import bounded_batches, documents, rows_udf
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces between white space, and words within them, that a worker remembers; longer ones are not kept.
@@ -283,4 +283,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))

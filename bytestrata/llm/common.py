@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.session import ship
+from bytestrata.session import ship, spread
 
 #: Used only where the session names no folder (tests); a cluster sets spark.checkpoint.dir to a shared one.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores even where they are one small file."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch limits to what a worker holds; lower settings of the user stay."""
     ship(spark)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from bytestrata.llm.common import bounded_batches, rows_udf, table
+from bytestrata.llm.common import bounded_batches, documents, rows_udf
 
 #: Payload bytes of a sample, samples of a chunk, samples from one key frame to the next; media time units a second and a sample.
 SAMPLE, CHUNK, KEY_EVERY, TIMESCALE, TICKS = 64, 256, 16, 8000, 64
@@ -237,4 +237,4 @@ def digests(media: DataFrame) -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document."""
-    return digests(store(table(spark, sf_dir, "documents")))
+    return digests(store(documents(spark, sf_dir)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytestrata.llm.bpe import VOCABULARY, codec
-from bytestrata.llm.common import bounded_batches, cut, rows_udf, table
+from bytestrata.llm.common import bounded_batches, cut, documents, rows_udf
 
 CAPACITY, END_TOKEN = 4096, 1
 #: Tokens of a class of lengths in the linear program; how fast covered lengths lose their price; the fill of the last configuration.
@@ -229,4 +229,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_token: int =
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places."""
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))

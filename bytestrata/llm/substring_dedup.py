@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm.common import WordHashes, bounded_batches, cut, rows_udf, table, window_hashes
+from bytestrata.llm.common import WordHashes, bounded_batches, cut, documents, rows_udf, window_hashes
 
 WINDOW = 50
 #: A perfect difference set: every remainder modulo PERIOD is a difference of two of its members in one way.
@@ -197,4 +197,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+    return remove_repeats(documents(spark, sf_dir)).drop("removed")
