@@ -31,7 +31,7 @@ WINDOW, STRIDE = 24, 16
 #: Buckets of word and n-gram hashes, sizes of both embeddings, of a GRU's state and of the attention.
 WORDS, GRAMS, D_WORD, D_CHAR, HIDDEN, ATTENTION = 1 << 15, 1 << 15, 8, 8, 8, 8
 POSITIVES, NEGATIVES, SAMPLE_WINDOWS = 800, 2400, 16
-ROUNDS, BATCH, RATE, DECAY = 6, 256, 0.01, 0.002
+ROUNDS, BATCH, RATE, DECAY = 6, 256, 0.01, 2.0
 #: Steps of a round at least: a small sample is gone through more than once.
 LEAST_STEPS = 30
 #: Share of the toxic documents, as a number of documents, that must hold a word or an n-gram for it to count at all, and its least value;
@@ -216,7 +216,6 @@ class Network:
             for c in range(what.shape[1]):
                 g[k][:, c] = np.bincount(at, what[:, c], len(g[k]))
         for k, known in self.known.items():
-            g[k] += np.float32(DECAY / BATCH) * p[k]
             g[k][~known] = 0
         return g
 
@@ -286,6 +285,8 @@ def train(documents: list[tuple[int, list[list[str]]]], clean_weight: float = 1.
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
                 net.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+                if k in net.known:  # embeddings that few windows ask for fade
+                    net.p[k] *= 1 - rate * DECAY
     # the threshold: of the documents kept for it, each kind at its weight in the labels, the fewest errors, in the widest gap
     s = scores()
     highest = np.full(len(documents), -np.inf)

@@ -406,9 +406,9 @@ def test_every_word_is_in_a_window():
 
 
 def labelled(spark, n):
-    r, texts, labels = random.Random(9), [], []
+    r, texts, labels, common = random.Random(9), [], [], words(150, 77)
     for k in range(n):
-        w = words(r.randrange(5, 120), 1000 + k)
+        w = [r.choice(common) for _ in range(r.randrange(5, 120))]
         if k % 4 == 0:
             for _ in range(3):
                 w[r.randrange(len(w))] = r.choice(["awful", "rotten", "Nasty!"])
