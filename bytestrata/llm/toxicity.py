@@ -240,8 +240,8 @@ def _known(net: Network, features: tuple, doc: np.ndarray, index: np.ndarray, pa
     net.forget()
 
 
-def train(documents: list[tuple[int, list[list[str]]]], clean_weight: float = 1.0, seed: int = 0) -> Network:
-    """documents: (label, windows of words); clean_weight: labelled documents that one of label 0 stands for, over those of label 1."""
+def train(documents: list[tuple[int, list[str]]], clean_weight: float = 1.0, seed: int = 0) -> Network:
+    """documents: (label, windows as words joined by one space); clean_weight: labelled documents that one of label 0 stands for, over those of label 1."""
     rng, net = np.random.default_rng(seed), Network(seed)
     vocabulary: dict[str, int] = {}
     doc, label, index = [], [], []
@@ -249,9 +249,10 @@ def train(documents: list[tuple[int, list[list[str]]]], clean_weight: float = 1.
         for w in windows:
             doc.append(k)
             label.append(y)
-            index.append([vocabulary.setdefault(x, len(vocabulary)) for x in w] + [-1] * (WINDOW - len(w)))
+            own = [vocabulary.setdefault(x, len(vocabulary)) for x in w.split()]
+            index.append(np.array(own + [-1] * (WINDOW - len(own)), np.int32))
     padding = len(vocabulary)
-    index = np.array(index, np.int64).reshape(-1, WINDOW)
+    index = np.array(index).astype(np.int64).reshape(-1, WINDOW)
     index[index < 0] = padding
     doc, label = np.array(doc), np.array(label)
     features = word_features([*vocabulary, ""])
@@ -367,12 +368,12 @@ def labelled_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
             windows = windows_of(len(words))
             if len(windows) > SAMPLE_WINDOWS:
                 windows = windows[np.sort(np.random.default_rng(abs(i)).choice(len(windows), SAMPLE_WINDOWS, replace=False))]
-            out["windows"].append([[words[k] for k in w if k < len(words)] for w in windows.tolist()])
+            out["windows"].append([" ".join(words[k] for k in w if k < len(words)) for w in windows.tolist()])
         return out
 
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("windows", pa.list_(pa.list_(pa.string())))])
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("windows", pa.list_(pa.string()))])
     own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    return own.mapInArrow(rows_udf(["doc_id", "toxic", "text"], schema, f), "doc_id long, toxic int, windows array<array<string>>")
+    return own.mapInArrow(rows_udf(["doc_id", "toxic", "text"], schema, f), "doc_id long, toxic int, windows array<string>")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | float:
