@@ -7,10 +7,10 @@ linked if an alignment of the labelled k-mers within a band matches at least THR
 alignment that can).
 
 A bucket of m texts is not made into m * m pairs. Each text is compared with the bucket's hub, the text that shares most slots with
-others, which settles all but few buckets. In those that still hold more than one class, texts outside the hub's class are held against the
-others by their signatures (LEAST_KMERS bytes), in tasks of at most GROUP texts, and only pairs that agree in AGREE slots and at least
-ESTIMATE of the signature go on to the alignment. A larger bucket is dealt into smaller ones by parts of the signature, TREES times
-in different ways and deeper until they fit. A pair at the threshold agrees in no slot with a chance of
+others, which settles all but few buckets. In those that still hold more than one class, every text outside the hub's class is held
+against all others by their signatures (LEAST_KMERS bytes), and only pairs that agree in AGREE slots and at least
+ESTIMATE of the signature go on to the alignment. A bucket of more than GROUP texts is dealt into parts of about GROUP, and a task holds
+two of them, so that each pair is met in a task. A pair at the threshold agrees in no slot with a chance of
 (1 - 0.8 ** TAKEN) ** SLOTS = 1e-5, in fewer than AGREE with 2e-4, and falls under ESTIMATE with 7e-4. Classes are the connected
 components of the links.
 
@@ -36,8 +36,8 @@ from bytestrata.llm.common import WordHashes, bounded_batches, cut, mixed, rows_
 
 KMER, THRESHOLD = 5, 0.8
 SLOTS, TAKEN, AGREE = 16, 3, 2
-#: Bytes of a signature, least share of them for a candidate, texts of a task, and ways to deal a larger bucket.
-LEAST_KMERS, ESTIMATE, GROUP, TREES = 256, 0.72, 2048, 32
+#: Bytes of a signature, least share of them for a candidate, and texts of a part of a bucket.
+LEAST_KMERS, ESTIMATE, GROUP = 256, 0.72, 2048
 #: K-mers hashed at a time.
 BLOCK = 1 << 15
 BASE = 0xD6E8FEB86659FD93
@@ -197,26 +197,26 @@ def _main_labels(hubs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: pa.Table) -> pa.Table:
-    """Pairs of one bucket, of different classes, with one text outside the hub's class, that are near by their signatures."""
+    """Pairs of one task, of different classes, of a text on the left and one on the right, that are near by their signatures."""
     rep, n = rows.column("rep").to_numpy(), rows.column("n").to_numpy()
     _, label = np.unique(rows.column("label").to_numpy(), return_inverse=True)
-    open_ = np.flatnonzero(rows.column("open").to_numpy(zero_copy_only=False))
+    left, right = (np.flatnonzero(rows.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
     slot = int(rows.column("slot")[0].as_py())
     slots = np.array(rows.column("slots").to_pylist(), np.int64)
     signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(len(rep), LEAST_KMERS)
     found = []
-    for at in range(0, len(open_), 128):
-        own = open_[at : at + 128]
-        agree = np.zeros((len(own), len(rep)), np.uint8)
-        fits = (label[own][:, None] != label[None, :]) & (np.minimum(n[own][:, None], n[None, :]) >= THRESHOLD * np.maximum(n[own][:, None], n[None, :]))
+    for at in range(0, len(left), 128):
+        own = left[at : at + 128]
+        agree = np.zeros((len(own), len(right)), np.uint8)
+        fits = (label[own][:, None] != label[right]) & (np.minimum(n[own][:, None], n[right]) >= THRESHOLD * np.maximum(n[own][:, None], n[right]))
         for k in range(SLOTS):
-            same = slots[own, k][:, None] == slots[None, :, k]
+            same = slots[own, k][:, None] == slots[right, k]
             if k < slot:
                 fits &= ~same  # the pair is met in the bucket of that slot
             agree += same
         i, j = np.nonzero(fits & (agree >= AGREE))
         for part in range(0, len(i), 1 << 15):
-            x, y = own[i[part : part + (1 << 15)]], j[part : part + (1 << 15)]
+            x, y = own[i[part : part + (1 << 15)]], right[j[part : part + (1 << 15)]]
             near = (signs[x] == signs[y]).sum(1) >= ESTIMATE * LEAST_KMERS
             found.append(np.stack([np.minimum(rep[x[near]], rep[y[near]]), np.maximum(rep[x[near]], rep[y[near]])]))
     both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
@@ -239,25 +239,7 @@ def _settle(members: DataFrame, hubs: DataFrame, labels: DataFrame, words: DataF
     drawn = words.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "words").mapInArrow(rows_udf(["rep", "words"], schema, signs), "rep long, sign binary")
     known = members.groupBy("rep").agg(F.first("n").alias("n"), F.first("slots").alias("slots"))
     known = cut(known.join(drawn, "rep"))
-    sized = cut(rest.groupBy("bucket").count())
-    small = rest.join(sized.filter(F.col("count") <= group).select("bucket"), "bucket")
-    large, depth = rest.join(sized.filter(F.col("count") > group).select("bucket"), "bucket"), 2
-    found, ready = "a long, b long", [small]
-    large = cut(large.join(known.select("rep", "sign"), "rep").withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(TREES)))))
-    while not large.isEmpty():
-        # `depth` bytes of the signature, others in each tree, part a bucket
-        own = [F.substring("sign", F.pmod(F.col("tree") * 37 + k * 11, F.lit(LEAST_KMERS)) + 1, F.lit(1)) for k in range(depth)]
-        dealt = cut(large.withColumn("part", F.xxhash64("bucket", "tree", *own)))
-        counts = cut(dealt.groupBy("part").count())
-        fit = dealt.join(counts.filter((F.col("count") <= group) & (F.col("count") > 1)).select("part"), "part")
-        ready.append(fit.select(F.col("part").alias("bucket"), F.lit(0).alias("slot"), "rep", "label", "open"))
-        large = cut(dealt.join(counts.filter(F.col("count") > group).select("part"), "part").drop("part"))
-        if depth >= 64:  # texts whose signatures are all but equal: the least of them stands for the others
-            least = dealt.join(counts.filter(F.col("count") > group).select("part"), "part").groupBy("part").agg(F.min("rep").alias("b"))
-            links = dealt.join(least, "part").filter("rep != b").select(F.col("rep").alias("a"), "b").distinct()
-            return _joined(_compare(ready, known, labels, words, found), verified(links, words))
-        depth *= 2
-    return _compare(ready, known, labels, words, found)
+    return _joined(labels, verified(cut(_compared(rest, known, group).distinct()), words))
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -266,13 +248,22 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return components(labels, named.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def _compare(ready: list[DataFrame], known: DataFrame, labels: DataFrame, words: DataFrame, found: str) -> DataFrame:
-    """labels after the pairs in the buckets of `ready`, none larger than GROUP."""
-    pairs = None
-    for part in ready:
-        own = part.join(known, "rep").select("bucket", "slot", "rep", "n", "label", "open", "slots", "sign").groupBy("bucket").applyInArrow(_candidates, found)
-        pairs = own if pairs is None else pairs.unionByName(own)
-    return _joined(labels, verified(cut(pairs.distinct()), words))
+def _compared(rest: DataFrame, known: DataFrame, group: int) -> DataFrame:
+    """Candidates (a, b) among all pairs with an open text in the buckets of `rest`; a task holds two parts of a bucket, low <= high."""
+    sized = cut(rest.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("open").alias("opens")))
+    small = rest.join(sized.filter(F.col("size") <= group).select("bucket"), "bucket")
+    small = small.select("bucket", F.lit(0).alias("low"), F.lit(0).alias("high"), "slot", "rep", "label", F.col("open").alias("left"), F.lit(True).alias("right"))
+    # open texts are dealt into the parts before `opened`, the others into those from there to `parts`
+    opened = F.ceil(F.col("opens") / group).cast("int")
+    parts = (opened + F.ceil((F.col("size") - F.col("opens")) / group)).cast("int")
+    large = rest.join(sized.filter(F.col("size") > group).select("bucket", opened.alias("opened"), parts.alias("parts")), "bucket")
+    own = F.when(F.col("open"), F.pmod(F.xxhash64("rep"), F.col("opened"))).otherwise(F.col("opened") + F.pmod(F.xxhash64("rep"), F.greatest(F.col("parts") - F.col("opened"), F.lit(1))))
+    # an open text meets every part, another one the parts of open texts
+    met = F.explode(F.sequence(F.lit(0), F.when(F.col("open"), F.col("parts")).otherwise(F.col("opened")) - 1))
+    large = large.withColumn("own", own.cast("int")).withColumn("met", met)
+    large = large.select("bucket", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "slot", "rep", "label", (F.col("own") <= F.col("met")).alias("left"), (F.col("own") >= F.col("met")).alias("right"))
+    tasks = small.unionByName(large).join(known, "rep").select("bucket", "low", "high", "slot", "rep", "n", "label", "left", "right", "slots", "sign")
+    return tasks.groupBy("bucket", "low", "high").applyInArrow(_candidates, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

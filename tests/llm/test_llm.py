@@ -283,6 +283,32 @@ def test_near_classes(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in rows(near_dup.near_duplicates(docs))} == want
 
 
+def candidates_of(spark, monkeypatch, texts, buckets):
+    """Pairs that go on to the alignment, for buckets {slot: texts} in parts of 4; each text is a class, and the least of a bucket its hub."""
+    kmers = [near_dup.labelled(near_dup.normal_words(t)) for t in texts]
+    slots = [[s if k in buckets.get(s, ()) else 1000 * s + k + 1000 for s in range(near_dup.SLOTS)] for k in range(len(texts))]
+    members = spark.createDataFrame([(s, s, k, len(kmers[k]), slots[k]) for s, held in buckets.items() for k in held], "bucket long, slot int, rep long, n long, slots array<long>")
+    hubs = spark.createDataFrame([(s, min(held)) for s, held in buckets.items()], "bucket long, hub long")
+    labels = spark.createDataFrame([(k, k) for k in range(len(texts))], "rep long, label long")
+    seen = set()
+
+    def aligned(pairs, words):
+        seen.update((x.a, x.b) for x in pairs.collect())
+        return pairs.limit(0)
+
+    monkeypatch.setattr(near_dup, "verified", aligned)
+    near_dup._settle(members, hubs, labels, near_dup.packed_words(make(spark, texts)), group=4)
+    signs = [np.frombuffer(near_dup.signature(k), np.uint8) for k in kmers]
+    near = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (signs[i] == signs[j]).sum() >= near_dup.ESTIMATE * near_dup.LEAST_KMERS}
+    return seen, near
+
+
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    texts = family(1, 59, 3)
+    seen, near = candidates_of(spark, monkeypatch, texts, {3: range(60), 9: range(60)})
+    assert len(near) > 200 and seen == near
+
+
 def test_near_rows(odd, empty):
     out = rows(near_dup.near_duplicates(odd))
     assert len(out) == odd.count() and sum(r["class_id"] == 4 for r in out) == 3
