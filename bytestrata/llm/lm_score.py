@@ -1,6 +1,6 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-A document's words (lower case, without ASCII punctuation) are scored by n-grams of up to ORDER words that all other documents hold:
+A document's words (lower case, without ASCII punctuation) are scored by n-grams of up to `order` words (ORDER in the query) that all other documents hold:
 S(w | context) is count(context w) / count(context) if that n-gram occurs elsewhere, else BACKOFF times the score with one word less of
 context; a word that occurs nowhere else counts UNSEEN times. A document's own counts are taken off first, so no text vouches for itself.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from bytestrata.llm.common import bounded_batches, cut, table, window_hashes
 from bytestrata.llm.near_dup import _words, normal_words
 
-ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
+ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 #: Bytes of words in a block; n-grams in a partition of the count table.
 BLOCK, PART = 8 << 20, 1 << 20
 BASE = 0xA0761D6478BD642F
@@ -87,28 +87,28 @@ def blocks_of(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _BLOCKS)
 
 
-def ngrams(lengths: list[int], packed: bytes) -> list[np.ndarray]:
+def ngrams(lengths: list[int], packed: bytes, order: int) -> list[np.ndarray]:
     """For each order, the hash of the n-gram that ends at each word; 0 where the document has not begun early enough."""
     words = zstandard.ZstdDecompressor().decompress(packed).split()
     hashes = _words.of(words)
     lengths = np.array(lengths, np.int64)
     place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out = []
-    for n in range(1, ORDER + 1):
+    for n in range(1, order + 1):
         h = np.zeros(len(words), np.uint64)
         h[n - 1 :] = window_hashes(hashes, n, BASE + 2 * n)
         out.append(np.where(place >= n - 1, h | np.uint64(1), np.uint64(0)))
     return out
 
 
-def exploded(blocks: DataFrame, parts: int) -> DataFrame:
+def exploded(blocks: DataFrame, parts: int, order: int) -> DataFrame:
     """The blocks' n-grams with their counts, a row for each partition that they meet."""
     shift = np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else None
 
     def run(batches):
         for b in batches:
             for block, lengths, words in zip(*(b.column(c).to_pylist() for c in ("block", "lengths", "words")), strict=True):
-                hashes, counts = np.unique(np.concatenate(ngrams(lengths, words)), return_counts=True)
+                hashes, counts = np.unique(np.concatenate(ngrams(lengths, words, order)), return_counts=True)
                 if len(hashes) and hashes[0] == 0:
                     hashes, counts = hashes[1:], counts[1:]
                 if not len(hashes):
@@ -133,10 +133,10 @@ def _sum_part(rows: pa.Table) -> pa.Table:
     return pa.table({"block": rows.column("block"), "part": rows.column("part"), "totals": pa.array(packed, pa.binary())})
 
 
-def document_scores(lengths: list[int], words: bytes, totals: list[bytes], corpus_words: int) -> np.ndarray:
+def document_scores(lengths: list[int], words: bytes, totals: list[bytes], corpus_words: int, order: int) -> np.ndarray:
     """Sum of ln S for each document of a block; totals: counts of the block's n-grams, in the order of their hashes."""
     lengths = np.array(lengths, np.int64)
-    grams = ngrams(lengths, words)
+    grams = ngrams(lengths, words, order)
     n = len(grams[0])
     if not n:
         return np.zeros(len(lengths))
@@ -145,22 +145,22 @@ def document_scores(lengths: list[int], words: bytes, totals: list[bytes], corpu
     count = np.concatenate([unpack_counts(x) for x in totals])
     if hashes[0] == 0:
         count = np.concatenate([[0], count])
-    _, pair, own = np.unique(inverse * len(lengths) + np.tile(doc, ORDER), return_inverse=True, return_counts=True)
-    elsewhere = (count[inverse] - own[pair]).reshape(ORDER, n)
+    _, pair, own = np.unique(inverse * len(lengths) + np.tile(doc, order), return_inverse=True, return_counts=True)
+    elsewhere = (count[inverse] - own[pair]).reshape(order, n)
     elsewhere[np.stack(grams) == 0] = 0
     score = np.maximum(elsewhere[0], UNSEEN) / np.maximum(corpus_words - lengths[doc], 1)
-    for k in range(1, ORDER):
+    for k in range(1, order):
         context = np.concatenate([[0], elsewhere[k - 1][:-1]])
         score = np.where(elsewhere[k] > 0, elsewhere[k] / np.maximum(context, 1), np.where(grams[k] == 0, 1, BACKOFF) * score)
     return np.bincount(doc, np.log(score), len(lengths))
 
 
-def score(docs: DataFrame, block_size: int = BLOCK, part_size: int = PART) -> DataFrame:
+def score(docs: DataFrame, block_size: int = BLOCK, part_size: int = PART, order: int = 2) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score), a row for each row of docs."""
     blocks = cut(blocks_of(docs, block_size))
     corpus_words = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    parts = 1 << max(0, math.ceil(math.log2(max(1, ORDER * corpus_words / part_size))))
-    sums = exploded(blocks, parts).groupBy("part").applyInArrow(_sum_part, "block long, part long, totals binary")
+    parts = 1 << max(0, math.ceil(math.log2(max(1, order * corpus_words / part_size))))
+    sums = exploded(blocks, parts, order).groupBy("part").applyInArrow(_sum_part, "block long, part long, totals binary")
     found = sums.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "totals"))).alias("totals"))
     joined = blocks.join(found.select("block", F.col("totals.totals").alias("totals")), "block", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
@@ -168,7 +168,7 @@ def score(docs: DataFrame, block_size: int = BLOCK, part_size: int = PART) -> Da
     def run(batches):
         for b in batches:
             for ids, lengths, words, totals in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "lengths", "words", "totals")), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(document_scores(lengths, words, totals or [], corpus_words))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(document_scores(lengths, words, totals or [], corpus_words, order))], schema=schema)
 
     scored = joined.select("doc_ids", "lengths", "words", "totals").mapInArrow(run, "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
@@ -176,4 +176,4 @@ def score(docs: DataFrame, block_size: int = BLOCK, part_size: int = PART) -> Da
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of every document."""
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), order=ORDER)

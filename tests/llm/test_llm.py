@@ -390,6 +390,25 @@ def test_lm_scores(spark, odd, empty):
     assert lm_score.score(odd).count() == odd.count() and lm_score.score(empty).count() == 0
 
 
+def test_lm_query_scores_trigrams(spark, tmp_path):
+    texts = [" ".join(random.Random(k).choices(["a", "b", "c", "dd", "e"], k=k * 7)) for k in range(12)] + [None, "", "zzz"]
+    make(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    split = {i: (t or "").split() for i, t in enumerate(texts)}
+    grams = {i: [Counter(zip(*(w[j:] for j in range(n)))) for n in (1, 2, 3)] for i, w in split.items()}
+    every, total = [sum((g[n] for g in grams.values()), Counter()) for n in range(3)], sum(map(len, split.values()))
+    got = {r["doc_id"]: r["log_score"] for r in rows(lm_score.op4_lm_scoring(spark, str(tmp_path)))}
+    for i, w in split.items():
+        s = 0.0
+        for k in range(len(w)):
+            u = max(every[0][(w[k],)] - grams[i][0][(w[k],)], 0.5) / max(total - len(w), 1)
+            for n in range(1, min(k, 2) + 1):
+                g = tuple(w[k - n : k + 1])
+                c = every[n][g] - grams[i][n][g]
+                u = c / (every[n - 1][g[:-1]] - grams[i][n - 1][g[:-1]]) if c > 0 else 0.4 * u
+            s += math.log(u)
+        assert abs(got[i] - s) < 1e-6 * max(1, abs(s))
+
+
 def test_packed_numbers():
     x = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
     assert (lm_score.unpack_sorted(lm_score.pack_sorted(x)) == x).all()
