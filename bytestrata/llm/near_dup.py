@@ -212,7 +212,7 @@ def _candidates(rows: pa.Table) -> pa.Table:
         for k in range(SLOTS):
             same = slots[own, k][:, None] == slots[right, k]
             if k < slot:
-                fits &= ~same  # the pair is met in the bucket of that slot
+                fits &= ~same  # the pair is met in the bucket of that slot, which is compared whole however large
             agree += same
         i, j = np.nonzero(fits & (agree >= AGREE))
         for part in range(0, len(i), 1 << 15):

@@ -309,6 +309,18 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch):
     assert len(near) > 200 and seen == near
 
 
+def test_pairs_of_small_buckets_that_share_a_large_one(spark, monkeypatch):
+    texts = family(1, 59, 3)
+    signs = [np.frombuffer(near_dup.signature(near_dup.labelled(near_dup.normal_words(t))), np.uint8) for t in texts]
+    free, pairs = set(range(1, 60)), []
+    for i, j in ((i, j) for i in range(1, 60) for j in range(i + 1, 60)):
+        if {i, j} <= free and len(pairs) < 12 and near_dup.ESTIMATE <= (signs[i] == signs[j]).mean() < 0.85:
+            free -= {i, j}
+            pairs.append((i, j))
+    seen, _ = candidates_of(spark, monkeypatch, texts, {3: range(60)} | dict(enumerate(pairs, 4)))
+    assert len(pairs) > 5 and seen == set(pairs)
+
+
 def test_near_rows(odd, empty):
     out = rows(near_dup.near_duplicates(odd))
     assert len(out) == odd.count() and sum(r["class_id"] == 4 for r in out) == 3
