@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytestrata.session import ship, spread
 
-#: Used only where the session names no folder (tests); a cluster sets spark.checkpoint.dir to a shared one.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Spark removes the shuffle files of a query when it ends, if this is set.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes of one Arrow batch sent to a Python worker: long texts must not make a batch of gigabytes.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 #: Words whose hashes a Python worker remembers.
-WORD_MEMO = 400_000
+WORD_MEMO = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,25 +45,64 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a local folder only where none is set."""
+    """The session's spark.checkpoint.dir. Only a session in one process may do without one, and gets a folder of its own."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
-        known = LOCAL_CHECKPOINTS
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(known)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", known)
     return known
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df once to the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The shuffle files that
+    led to it go when it is written, the table itself with discard() or, at the latest, when the application ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    was = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, was)
+    _folder(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_cut_path"] = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing reads any more."""
+    for df in tables:
+        path = df.__dict__.pop("_cut_path", None)
+        if path:
+            _folder(df.sparkSession, path).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def one_of_each(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
+    """The rows of docs that kept (doc_id, digest, rows; a small written table) names, one of those that are equal in id and text."""
+    names = ["_id", "_digest", "_rows"]
+    while set(names) & set(docs.columns):
+        names = [x + "_" for x in names]
+    of, its, many = names
+    marked = docs.withColumn(its, digest)
+    own = kept.select(F.col("doc_id").alias(of), F.col("digest").alias(its + "k"), F.col("rows").alias(many))
+
+    def chosen(part: DataFrame) -> DataFrame:
+        return marked.join(part, marked["doc_id"].eqNullSafe(part[of]) & (marked[its] == part[its + "k"]), "left_semi")
+
+    alone = chosen(own.filter(F.col(many) == 1)).select(docs.columns)
+    tied = own.filter(F.col(many) > 1)
+    if tied.isEmpty():
+        return alone
+    # combined within tasks first, so repeated rows never gather in one
+    row = F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row")
+    return alone.unionByName(chosen(tied).groupBy("doc_id", its).agg(row).select("row.*"))
 
 
 def text_or_empty(column: str = "text"):
@@ -77,6 +121,25 @@ def rows_udf(columns: list[str], out: pa.Schema, f: Callable[..., dict[str, list
     return run
 
 
+_held: list = [None, None]
+
+
+def held(owner: Any, make: Callable[[], Any]) -> Any:
+    """What an operator remembers in this process. Only one operator's memory is kept: workers live on from stage to stage, and what
+    one has gathered would come on top of the next one's."""
+    if _held[0] != owner:
+        _held[:] = [owner, None]
+        gc.collect()
+        if os.name == "posix" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+        _held[1] = make()
+    return _held[1]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return held("word hashes", WordHashes).of(words)
+
+
 class WordHashes(dict):
     """A memo of 64-bit word hashes (any bytes); emptied when full, so its size is bounded."""
 

@@ -4,16 +4,17 @@ A passage is a window of WINDOW words. Hashing all of them would move a row for
 positions whose remainder modulo PERIOD is in COVER are hashed: for any two places there is a shift below PERIOD that puts both on
 the cover, so two equal passages share an aligned anchor wherever they stand. Then:
 
-1. anchors that more than one text holds are found (grouped before they are shuffled), and lead back to their places;
+1. anchors are written once; those that more than one text holds are found (grouped before they are shuffled), and lead back to their places;
 2. around those places alone, the whole windows that contain such an anchor are hashed with 128 bits: a match extends as long as
    neighbouring windows match too;
 3. a window that starts in a document with a smaller doc_id covers its words, which are removed.
 
-Documents with the same words count as one text in 1 and 2: all but that with the smallest doc_id are covered as a whole.
+Documents with the same words are one text in 1 to 3, with the smallest of their doc_ids: the others are covered as a whole. What is
+joined on an anchor or a window joins a written table, so that a join can split a passage which very many texts hold.
 
-Defined cases: null texts have no words; texts with fewer words than a window lose nothing; texts may be of any length; rows that
-are repeated with the same doc_id do not cover each other, and each gets a row; a null doc_id counts as larger than any other;
-an empty table gives an empty result; other columns stay unread.
+Defined cases: null texts have no words; texts with fewer words than a window lose nothing; texts may be of any length; a text is known by
+its words, not by its doc_id, so one doc_id may stand over several texts; rows of the same doc_id do not cover each other, and each gets
+a row; a null doc_id counts as larger than any other; an empty table gives an empty result; other columns stay unread.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm.common import WordHashes, bounded_batches, cut, documents, rows_udf, window_hashes
+from bytestrata.llm.common import bounded_batches, cut, discard, documents, rows_udf, window_hashes, word_hashes
 
 WINDOW = 50
 #: A perfect difference set: every remainder modulo PERIOD is a difference of two of its members in one way.
@@ -39,7 +40,6 @@ LAST = (1 << 63) - 1
 #: Rows of an Arrow batch that goes back to Spark.
 OUT_ROWS = 100_000
 
-_words = WordHashes()
 _on_cover = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -75,23 +75,6 @@ def _exploded(columns: list[str], schema: pa.Schema, f):
     return run
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(anchor, words_key, doc_id, pos): hashes of ANCHOR words at cover positions, of texts that have a window."""
-
-    def f(doc_id, text):
-        words = words_of(text)
-        if len(words) < WINDOW:
-            return None
-        pos = np.flatnonzero(_on_cover[np.arange(len(words) - ANCHOR + 1) % PERIOD])
-        key = xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
-        h = window_hashes(_words.of(words), ANCHOR, BASES[0])[pos]
-        return h.view(np.int64), np.full(len(pos), key), np.full(len(pos), doc_id), pos
-
-    long = pa.int64()
-    schema = pa.schema([("anchor", long), ("words_key", long), ("doc_id", long), ("pos", pa.int32())])
-    return docs.select("doc_id", "text").mapInArrow(_exploded(["doc_id", "text"], schema, f), "anchor long, words_key long, doc_id long, pos int")
-
-
 def word_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, words_sha256): the digest is of the words joined by one space."""
 
@@ -103,35 +86,61 @@ def word_digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows_udf(["doc_id", "text"], schema, f), "doc_id long, n_words long, words_sha256 binary")
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """(doc_id, words_sha256, words binary): whole texts as compressed words, which are what is shuffled."""
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(row, words_sha256, first_id, words): texts that have a window, each once, as compressed words. Copies are combined within tasks, then
+    by their whole words; row is a number of the text's own, fixed once the table is written."""
 
-    def f(doc_id: list, text: list) -> dict:
+    def f(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        joined = [b" ".join(words_of(t)) for t in text]
-        return {"doc_id": doc_id, "words_sha256": [hashlib.sha256(w).digest() for w in joined], "words": [*map(pack, joined)]}
+        for b in batches:
+            ids, digests, packed = [], [], []
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = words_of(t)
+                if len(words) >= WINDOW:
+                    joined = b" ".join(words)
+                    ids.append(i)
+                    digests.append(hashlib.sha256(joined).digest())
+                    packed.append(pack(joined))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "words_sha256", "words"])
+
+    every = docs.select("doc_id", "text").mapInArrow(f, "doc_id long, words_sha256 binary, words binary")
+    return every.groupBy("words_sha256", "words").agg(F.min("doc_id").alias("first_id")).select(F.monotonically_increasing_id().alias("row"), "words_sha256", "first_id", "words")
 
-    schema = pa.schema([("doc_id", pa.int64()), ("words_sha256", pa.binary()), ("words", pa.binary())])
-    return docs.select("doc_id", "text").mapInArrow(rows_udf(["doc_id", "text"], schema, f), "doc_id long, words_sha256 binary, words binary")
+
+def _split(packed: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(packed).split(b" ")
+
+
+def anchors(texts: DataFrame) -> DataFrame:
+    """(anchor, row, pos): hashes of ANCHOR words at cover positions."""
+
+    def f(row, packed):
+        words = _split(packed)
+        pos = np.flatnonzero(_on_cover[np.arange(len(words) - ANCHOR + 1) % PERIOD])
+        h = window_hashes(word_hashes(words), ANCHOR, BASES[0])[pos]
+        return h.view(np.int64), np.full(len(pos), row), pos
+
+    schema = pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("pos", pa.int32())])
+    return texts.select("row", "words").mapInArrow(_exploded(["row", "words"], schema, f), "anchor long, row long, pos int")
 
 
 def candidate_windows(candidates: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, start) of every window that contains a shared anchor."""
+    """(h1, h2, row, first_id, start) of every window that contains a shared anchor."""
 
-    def f(doc_id, packed, pos):
-        words = zstandard.ZstdDecompressor().decompress(packed).split(b" ")
-        hashes, n = _words.of(words), len(words) - WINDOW + 1
+    def f(row, first_id, packed, pos):
+        words = _split(packed)
+        hashes, n = word_hashes(words), len(words) - WINDOW + 1
         edge = np.zeros(n + 1, np.int64)
         at = np.array(pos)
         np.add.at(edge, np.maximum(at - (WINDOW - ANCHOR), 0), 1)
         np.add.at(edge, np.minimum(at, n - 1) + 1, -1)
         start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
         h1, h2 = (window_hashes(hashes, WINDOW, b)[start].view(np.int64) for b in BASES)
-        return h1, h2, np.full(len(start), doc_id), start
+        return h1, h2, np.full(len(start), row), np.full(len(start), first_id), start
 
     long = pa.int64()
-    schema = pa.schema([("h1", long), ("h2", long), ("doc_id", long), ("start", pa.int32())])
-    return candidates.mapInArrow(_exploded(["doc_id", "words", "pos"], schema, f), "h1 long, h2 long, doc_id long, start int")
+    schema = pa.schema([("h1", long), ("h2", long), ("row", long), ("first_id", long), ("start", pa.int32())])
+    return candidates.mapInArrow(_exploded(["row", "first_id", "words", "pos"], schema, f), "h1 long, h2 long, row long, first_id long, start int")
 
 
 def _spans(covered: np.ndarray) -> list[dict[str, int]]:
@@ -140,58 +149,61 @@ def _spans(covered: np.ndarray) -> list[dict[str, int]]:
 
 
 def kept_words(candidates: DataFrame) -> DataFrame:
-    """(doc_id, words_sha256, n_removed, kept_sha256, removed) of (doc_id, words_sha256, words, starts of covered windows)."""
-    names = ("doc_id", "words_sha256", "n_removed", "kept_sha256", "removed")
+    """(words_sha256, n_removed, kept_sha256, removed) of (words_sha256, words, starts of covered windows)."""
+    names = ("words_sha256", "n_removed", "kept_sha256", "removed")
 
-    def f(doc_id: list, digest: list, packed: list, starts: list) -> dict:
+    def f(digest: list, packed: list, starts: list) -> dict:
         out = {k: [] for k in names}
-        for i, d, p, s in zip(doc_id, digest, packed, starts, strict=True):
-            words = zstandard.ZstdDecompressor().decompress(p).split(b" ")
+        for d, p, s in zip(digest, packed, starts, strict=True):
+            words = _split(p)
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, np.array(s), 1)
             np.add.at(edge, np.array(s) + WINDOW, -1)
             covered = np.cumsum(edge[:-1]) > 0
             kept = b" ".join(w for w, gone in zip(words, covered.tolist(), strict=True) if not gone)
-            for k, v in zip(names, (i, d, int(covered.sum()), hashlib.sha256(kept).hexdigest(), _spans(covered)), strict=True):
+            for k, v in zip(names, (d, int(covered.sum()), hashlib.sha256(kept).hexdigest(), _spans(covered)), strict=True):
                 out[k].append(v)
         return out
 
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema(zip(names, (pa.int64(), pa.binary(), pa.int64(), pa.string(), spans), strict=True))
-    ddl = "doc_id long, words_sha256 binary, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>"
-    return candidates.mapInArrow(rows_udf(["doc_id", "words_sha256", "words", "starts"], schema, f), ddl)
+    schema = pa.schema(zip(names, (pa.binary(), pa.int64(), pa.string(), spans), strict=True))
+    ddl = "words_sha256 binary, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>"
+    return candidates.mapInArrow(rows_udf(["words_sha256", "words", "starts"], schema, f), ddl)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, removed (spans of word numbers, end exclusive) of every row of docs."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    base = cut(word_digests(docs))
-    first = base.groupBy("words_sha256").agg(F.min("doc_id").alias("first_id"))
-
-    every = anchors(docs)
-    shared = every.groupBy("anchor").agg(F.min("words_key").alias("a"), F.max("words_key").alias("b")).filter("a != b").select("anchor")
-    places = every.select("anchor", "doc_id", "pos").join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
-    texts = compressed(docs).join(places, "doc_id").join(first, "words_sha256").filter("doc_id = first_id").drop("first_id")
-    candidates = cut(texts)
-
-    windows = candidate_windows(candidates.select("doc_id", "words", "pos"))
-    earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("earliest != latest").drop("latest")
-    starts = windows.join(earliest, ["h1", "h2"]).filter("doc_id > earliest").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    changed = kept_words(candidates.select("doc_id", "words_sha256", "words").join(starts, "doc_id")).dropDuplicates(["doc_id", "words_sha256"])
-
-    copy = (F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= WINDOW)
+    base = word_digests(docs)
+    texts = cut(distinct_texts(docs))
+
+    every = cut(anchors(texts))
+    shared = cut(every.groupBy("anchor").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a != b").select("anchor"))
+    places = cut(every.join(shared, "anchor").groupBy("row").agg(F.collect_list("pos").alias("pos")))
+    discard(every, shared)
+    candidates = cut(texts.join(places, "row"))
+    discard(places)
+
+    # windows whose first holder comes before some other
+    windows = cut(candidate_windows(candidates.select("row", "first_id", "words", "pos")))
+    earliest = windows.groupBy("h1", "h2").agg(F.min("first_id").alias("earliest"), F.max("first_id").alias("latest"))
+    earliest = cut(earliest.filter("earliest != latest").drop("latest"))
+    starts = cut(windows.join(earliest, ["h1", "h2"]).filter("first_id > earliest").groupBy("row").agg(F.collect_list("start").alias("starts")))
+    discard(windows, earliest)
+    changed = kept_words(candidates.join(starts, "row").select("words_sha256", "words", "starts"))
+    # what is said of a text, for the texts of which anything is said: rows join it by their digests
+    said = cut(texts.select("words_sha256", "first_id").join(changed, "words_sha256", "left"))
+    discard(texts, candidates, starts)
+
+    copy = F.col("doc_id") != F.col("first_id")  # null where the text has no window
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
-    return (
-        base.join(first, "words_sha256")
-        .join(changed, ["doc_id", "words_sha256"], "left")
-        .select(
-            F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"),
-            "n_words",
-            F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("words_sha256")))).alias("kept_sha256"),
-            F.when(copy, whole).otherwise(F.coalesce("removed", F.array().cast("array<struct<start:long,end:long>>"))).alias("removed"),
-        )
+    return base.join(said, "words_sha256", "left").select(
+        F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"),
+        "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("words_sha256")))).alias("kept_sha256"),
+        F.when(copy, whole).otherwise(F.coalesce("removed", F.array().cast("array<struct<start:long,end:long>>"))).alias("removed"),
     )
 
 
