@@ -15,9 +15,10 @@ two of them, so that each pair is met in a task. A pair at the threshold agrees
 components of the links.
 
 Defined cases: texts with equal words are one class from the start; null and empty texts are equal texts; texts without any word
-are compared as they are; a text with fewer than KMER words is one k-mer; texts may be of any length; the class is named by its
-smallest doc_id, whose row (each, if it repeats) stays; a null doc_id is a class of no name (null), with all other null
-ids; an empty table gives an empty result; other columns stay unread.
+are compared as they are; a text with fewer than KMER words is one k-mer; texts may be of any length; a node of the search is a
+sequence of words, whatever ids its rows have, so one doc_id may stand over several texts; the class is named by its smallest doc_id
+(null where it has null ids alone), and of its rows with that id the text of least digest is kept; rows equal in doc_id and text are one
+document, flagged alike, and deduplicate() leaves one of them; an empty table gives an empty result; other columns stay unread.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm.common import WordHashes, bounded_batches, cut, mixed, rows_udf, table, window_hashes
+from bytestrata.llm.common import bounded_batches, cut, discard, mixed, one_of_each, rows_udf, table, window_hashes, word_hashes
 
 KMER, THRESHOLD = 5, 0.8
 SLOTS, TAKEN, AGREE = 16, 3, 2
@@ -43,7 +44,6 @@ BLOCK = 1 << 15
 BASE = 0xD6E8FEB86659FD93
 SEEDS = mixed(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(BASE))
 _SPACES = bytes.maketrans(string.punctuation.encode() + bytes(range(32)), b" " * (len(string.punctuation) + 32))
-_words = WordHashes()
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -54,7 +54,7 @@ def labelled(words: list[bytes]) -> np.ndarray:
     """Hashes of the text's k-mers with their occurrence numbers, in text order."""
     if not words:
         return np.zeros(0, np.uint64)
-    kmers = window_hashes(_words.of(words), min(KMER, len(words)), BASE)
+    kmers = window_hashes(word_hashes(words), min(KMER, len(words)), BASE)
     order = np.argsort(kmers, kind="stable")
     ordered = kmers[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -126,32 +126,43 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return found if found >= threshold - 1e-9 else 0.0
 
 
+def text_digest() -> Column:
+    """16 bytes that tell whole texts apart."""
+    return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, words_key, n, slots) of every document; n is its number of k-mers."""
+    """(doc_id, digest, words_key, n, slots) of every document; n is its number of k-mers."""
 
-    def f(doc_id: list, text: list) -> dict:
+    def f(doc_id: list, digest: list, text: list) -> dict:
         keys, ns, slots = [], [], []
         for t in text:
             words = normal_words(t)
             kmers = labelled(words)
-            keys.append(hashlib.sha256(b" ".join(words) if words else b" " + (t or "").encode()).digest()[:16])
+            keys.append(_key(words, t))
             ns.append(len(kmers))
             slots.append(sketch(kmers) if len(kmers) else [])
-        return {"doc_id": doc_id, "words_key": keys, "n": ns, "slots": slots}
+        return {"doc_id": doc_id, "digest": digest, "words_key": keys, "n": ns, "slots": slots}
+
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("words_key", pa.binary()), ("n", pa.int64()), ("slots", pa.list_(pa.int64()))])
+    own = docs.select("doc_id", text_digest().alias("digest"), "text")
+    return own.mapInArrow(rows_udf(["doc_id", "digest", "text"], schema, f), "doc_id long, digest binary, words_key binary, n long, slots array<long>")
 
-    schema = pa.schema([("doc_id", pa.int64()), ("words_key", pa.binary()), ("n", pa.int64()), ("slots", pa.list_(pa.int64()))])
-    return docs.select("doc_id", "text").mapInArrow(rows_udf(["doc_id", "text"], schema, f), "doc_id long, words_key binary, n long, slots array<long>")
+
+def _key(words: list[bytes], text: str | None) -> bytes:
+    return hashlib.sha256(b" ".join(words) if words else b" " + (text or "").encode()).digest()[:16]
 
 
 def packed_words(docs: DataFrame) -> DataFrame:
-    """(rep, words): the words of a text, compressed."""
+    """(words_key, words): the words of a text, compressed."""
 
-    def f(doc_id: list, text: list) -> dict:
+    def f(text: list) -> dict:
         pack = zstandard.ZstdCompressor(level=1).compress
-        return {"rep": doc_id, "words": [pack(b" ".join(normal_words(t))) for t in text]}
+        own = [normal_words(t) for t in text]
+        return {"words_key": [_key(w, t) for w, t in zip(own, text, strict=True)], "words": [pack(b" ".join(w)) for w in own]}
 
-    schema = pa.schema([("rep", pa.int64()), ("words", pa.binary())])
-    return docs.select("doc_id", "text").mapInArrow(rows_udf(["doc_id", "text"], schema, f), "rep long, words binary")
+    schema = pa.schema([("words_key", pa.binary()), ("words", pa.binary())])
+    return docs.select("text").mapInArrow(rows_udf(["text"], schema, f), "words_key binary, words binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -177,18 +188,23 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = cut(links.filter("a != b").distinct())
     if edges.isEmpty():
         return labels
+    one_way = edges
     edges = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+    discard(one_way)
+    written = now = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
     while True:
         near = edges.join(now.select(F.col("a").alias("b"), "to"), "b").groupBy("a").agg(F.min("to").alias("near"))
         step = now.join(near, "a").select("a", "to", F.least("to", "near").alias("via"))
         jump = now.select(F.col("a").alias("via"), F.col("to").alias("far"))
         after = cut(step.join(jump, "via").select("a", F.col("to").alias("was"), F.least("via", "far").alias("to")))
-        now = after.select("a", "to")
+        discard(written)
+        written, now = after, after.select("a", "to")
         if after.filter("was != to").isEmpty():
             break
     moved = now.select(F.col("a").alias("label"), "to")
-    return cut(labels.join(moved, "label", "left").select("rep", F.coalesce("to", "label").alias("label")))
+    joined = cut(labels.join(moved, "label", "left").select("rep", F.coalesce("to", "label").alias("label")))
+    discard(written, edges)
+    return joined
 
 
 def _main_labels(hubs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,7 +242,7 @@ def _candidates(rows: pa.Table) -> pa.Table:
 def _settle(members: DataFrame, hubs: DataFrame, labels: DataFrame, words: DataFrame, group: int = GROUP) -> DataFrame:
     """labels after the pairs in buckets that are not of one class have been compared."""
     main = _main_labels(hubs, labels)
-    open_buckets = members.select("bucket", "rep").join(labels, "rep").join(main, "bucket").filter("label != main").groupBy("bucket").agg(F.first("main").alias("main"))
+    open_buckets = cut(members.select("bucket", "rep").join(labels, "rep").join(main, "bucket").filter("label != main").groupBy("bucket").agg(F.first("main").alias("main")))
     rest = cut(members.join(open_buckets, "bucket").join(labels, "rep").select("bucket", "slot", "rep", "label", (F.col("label") != F.col("main")).alias("open")))
     if rest.isEmpty():
         return labels
@@ -239,7 +255,9 @@ def _settle(members: DataFrame, hubs: DataFrame, labels: DataFrame, words: DataF
     drawn = words.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "words").mapInArrow(rows_udf(["rep", "words"], schema, signs), "rep long, sign binary")
     known = members.groupBy("rep").agg(F.first("n").alias("n"), F.first("slots").alias("slots"))
     known = cut(known.join(drawn, "rep"))
-    return _joined(labels, verified(cut(_compared(rest, known, group).distinct()), words))
+    pairs = cut(_compared(rest, known, group).distinct())
+    discard(rest, known, open_buckets)
+    return _joined(labels, verified(pairs, words))
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -268,39 +286,50 @@ def _compared(rest: DataFrame, known: DataFrame, group: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, kept), a row for each row of docs."""
+    return _classified(docs).select("doc_id", "class_id", "kept")
+
+
+def _classified(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, class_id, kept); kept rows of a class are equal in doc_id and text."""
     bounded_batches(docs.sparkSession)
-    named = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    drawn = cut(sketches(named))
-    texts = cut(drawn.groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("slots").alias("slots")))
+    drawn = cut(sketches(docs))
+    # a class is named by the least of these: smallest doc_id, null ids last
+    name = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "digest")
+    texts = cut(drawn.groupBy("words_key").agg(F.min(name).alias("name"), F.first("n").alias("n"), F.first("slots").alias("slots")).withColumn("rep", F.monotonically_increasing_id()))
     slots = texts.select("rep", F.posexplode("slots").alias("slot", "value")).select("rep", "slot", F.xxhash64("slot", "value").alias("bucket"))
-    sizes = slots.groupBy("bucket").count().filter("count > 1")
-    member = slots.join(sizes, "bucket")
-    central = member.groupBy("rep").agg(F.sum("count").alias("central"))
-    known = texts.select("rep", "n", "slots").join(central, "rep")
+    # a written table, so that the join can split a bucket that very many texts share
+    sizes = cut(slots.groupBy("bucket").count().filter("count > 1"))
+    central = slots.join(sizes, "bucket").groupBy("rep").agg(F.sum("count").alias("central"))
+    known = cut(texts.select("rep", "n", "slots").join(central, "rep"))
     members = cut(slots.join(sizes.select("bucket"), "bucket").join(known, "rep").select("bucket", "slot", "rep", "n", "central", "slots"))
+    discard(sizes)
 
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    words = cut(packed_words(named).join(ids.withColumnRenamed("doc_id", "rep"), "rep").dropDuplicates(["rep"]))
+    sought = texts.select("rep", "words_key").join(known.select("rep"), "rep", "left_semi")
+    words = cut(packed_words(docs).dropDuplicates(["words_key"]).join(sought, "words_key").select("rep", "words"))
     order = F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("best")
     hubs = cut(members.groupBy("bucket").agg(order).select("bucket", (-F.col("best.minus")).alias("hub")))
-    lengths = cut(members.select("rep", "n").distinct())
+    lengths = known.select("rep", "n")
     alike = F.least("n", "hub_n") >= THRESHOLD * F.greatest("n", "hub_n")
     first = members.select("bucket", "rep", "n").join(hubs, "bucket").filter("rep != hub").select("rep", "n", "hub").distinct()
     first = first.join(lengths.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub").filter(alike)
     links = verified(first.select(F.col("rep").alias("a"), F.col("hub").alias("b")), words)
     labels = components(lengths.select("rep", F.col("rep").alias("label")), links)
     labels = _settle(members, hubs, labels, words)
+    discard(members, words, hubs)
 
-    classes = texts.select("words_key", "rep").join(labels, "rep", "left").select("words_key", F.coalesce("label", "rep").alias("class_id"))
-    found = drawn.select("doc_id", "words_key").join(classes, "words_key").select("doc_id", "class_id")
-    found = found.unionByName(docs.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id")))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    classes = cut(texts.select("words_key", "rep", "name").join(labels, "rep", "left").select("words_key", "name", F.coalesce("label", "rep").alias("label")))
+    discard(texts, labels, known)
+    names = cut(classes.groupBy("label").agg(F.min("name").alias("best")))
+    named = cut(classes.select("words_key", "label").join(names, "label").select("words_key", "best"))
+    found = drawn.select("doc_id", "digest", "words_key").join(named, "words_key")
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    return found.select("doc_id", "digest", F.col("best.doc_id").alias("class_id"), kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one of each class, with all their columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of docs that stay, exactly one of each class, with all their columns."""
+    kept = cut(_classified(docs).filter("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")))
+    return one_of_each(docs, kept, text_digest())
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
