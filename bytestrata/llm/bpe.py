@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from bytestrata.llm.common import bounded_batches, documents, rows_udf
+from bytestrata.llm.common import bounded_batches, documents, held, rows_udf
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces between white space, and words within them, that a worker remembers; longer ones are not kept.
@@ -233,10 +233,9 @@ class Codec:
         return self.blob[np.repeat(self.offsets[x] - (ends - lengths), lengths) + np.arange(ends[-1])].tobytes()[:-1]
 
 
-@functools.cache
 def codec(path: str) -> Codec:
     """One codec a process."""
-    return Codec(path)
+    return held(("codec", path), lambda: Codec(path))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -7,9 +7,9 @@ text is scored; nothing but the text is an input.
 
 Labels are of documents, not windows, so training goes in rounds: first every window has its document's label, then
 the highest windows of toxic documents stand against windows (the highest, and others) of the rest. Words and n-grams that few
-documents hold add nothing, so that rare ones are not learned by heart; part of the sample is kept for the calibration alone. The
-sample is bounded: at most POSITIVES and NEGATIVES labelled documents, the first in the order of their ids' hashes, and SAMPLE_WINDOWS
-windows of each.
+documents hold add nothing, so that rare ones are not learned by heart; part of the sample is kept for the calibration alone, which
+goes by the highest of all windows of its whole texts, as scoring does. The sample is bounded: at most POSITIVES and NEGATIVES
+labelled documents, the first in the order of their ids' hashes; of a longer text SAMPLE_WINDOWS windows are learned from.
 
 Defined cases: null counts as the empty text, which has one window of no words; texts may be of any length; rows that repeat score
 alike; documents with contradicting labels count as toxic, labels other than 0 and 1 (null too) are passed over; without labels of both
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm.common import bounded_batches, cut, mixed, rows_udf, table
+from bytestrata.llm.common import bounded_batches, cut, discard, held, mixed, rows_udf, table
 
 WINDOW, STRIDE = 24, 16
 #: Buckets of word and n-gram hashes, sizes of both embeddings, of a GRU's state and of the attention.
@@ -37,8 +37,8 @@ LEAST_STEPS = 30
 #: Share of the toxic documents, as a number of documents, that must hold a word or an n-gram for it to count at all, and its least value;
 #: every CALIBRATED-th document is kept for calibration.
 LEAST_WORD, LEAST_GRAM, CALIBRATED = (0.01, 3), (0.02, 4), 5
-#: Distinct words whose inputs a worker remembers; windows scored at a time.
-WORD_MEMO, BLOCK = 200_000, 4096
+#: Distinct words whose inputs a worker remembers; windows scored at a time, and words embedded at a time.
+WORD_MEMO, BLOCK, NEW_WORDS = 200_000, 1024, 1 << 14
 FOLDS = 5
 _STRIP = string.punctuation + string.whitespace
 
@@ -47,6 +47,13 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each word, the buckets of all words' n-grams in a row, where a word's begin, and how many they are."""
+    parts = [_features(words[at : at + NEW_WORDS]) for at in range(0, len(words), NEW_WORDS)]
+    bucket, grams, count = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3))
+    return bucket, grams, np.cumsum(count) - count, count
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each word, the buckets of all words' n-grams of 3 to 5 characters in a row, where a word's begin, and how many they are.
     Bucket 0 stands for nothing."""
     marked = [f"<{w}>" if (w := x.strip(_STRIP).lower()) else "" for x in words]
@@ -64,7 +71,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             owners.append(word[own])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    grams = np.concatenate(parts)[order].astype(np.int64)
+    grams = np.concatenate(parts)[order].astype(np.int32)
     count = np.bincount(owner, minlength=len(words))
     total = np.zeros(len(words), np.uint64)
     place = (np.arange(len(codes)) - np.repeat(end - size, size)).astype(np.uint64)
@@ -81,9 +88,10 @@ def chosen_features(features: tuple, rows: np.ndarray) -> tuple[np.ndarray, np.n
     return bucket[rows], grams[at], end - count, count
 
 
-def windows_of(n: int) -> np.ndarray:
-    """Word numbers of each window; n stands for padding."""
-    starts = np.arange(0, max(n - WINDOW + STRIDE, 1), STRIDE)
+def windows_of(n: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Word numbers of each window of n words (of those that start from begin, a multiple of STRIDE, to end); n stands for padding."""
+    last = max(n - WINDOW + STRIDE, 1)
+    starts = np.arange(begin, last if end is None else min(last, end), STRIDE)
     return np.minimum(starts[:, None] + np.arange(WINDOW), n)
 
 
@@ -126,6 +134,11 @@ class Network:
         """What a word adds to the gates, (words, 2, 3 * HIDDEN)."""
         return np.ascontiguousarray(((inputs @ self.p["wx"]) + self.p["bx"]).transpose(1, 0, 2))
 
+    def table(self, features: tuple) -> np.ndarray:
+        """projected() of all words of features, a part at a time."""
+        n = len(features[0])
+        return np.concatenate([self.projected(self.inputs(*chosen_features(features, np.arange(at, min(at + NEW_WORDS, n))))) for at in range(0, n, NEW_WORDS)])
+
     def run(self, x: np.ndarray, keep: bool = False):
         """x: (2, T, B, 3H), the second direction reversed -> states (2, T, B, H), and what backward() needs."""
         h_size, (_, steps, b, _) = HIDDEN, x.shape
@@ -240,8 +253,8 @@ def _known(net: Network, features: tuple, doc: np.ndarray, index: np.ndarray, pa
     net.forget()
 
 
-def train(documents: list[tuple[int, list[str]]], clean_weight: float = 1.0, seed: int = 0) -> Network:
-    """documents: (label, windows as words joined by one space); clean_weight: labelled documents that one of label 0 stands for, over those of label 1."""
+def train(documents: list[tuple[int, list[str]]], seed: int = 0) -> Network:
+    """documents: (label, windows as words joined by one space); every CALIBRATED-th is not learned from. The result is not calibrated."""
     rng, net = np.random.default_rng(seed), Network(seed)
     vocabulary: dict[str, int] = {}
     doc, label, index = [], [], []
@@ -261,7 +274,7 @@ def train(documents: list[tuple[int, list[str]]], clean_weight: float = 1.0, see
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
 
     def scores() -> np.ndarray:
-        return net.logits(net.projected(net.inputs(*features)), index, padding)
+        return net.logits(net.table(features), index, padding)
 
     for turn in range(ROUNDS):
         use = (label == 1) & ~held
@@ -288,22 +301,18 @@ def train(documents: list[tuple[int, list[str]]], clean_weight: float = 1.0, see
                 net.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
                 if k in net.known:  # embeddings that few windows ask for fade
                     net.p[k] *= 1 - rate * DECAY
-    # the threshold: of the documents kept for it, each kind at its weight in the labels, the fewest errors, in the widest gap
-    s = scores()
-    highest = np.full(len(documents), -np.inf)
-    np.maximum.at(highest, doc, s)
-    y = np.array([y for y, _ in documents])
-    own = np.arange(len(documents)) % CALIBRATED == 0
-    if not 0 < y[own].sum() < own.sum():
-        own[:] = True
-    order = np.argsort(highest[own], kind="stable")
-    x, y = highest[own][order], y[own][order]
+    return net
+
+
+def calibration(highest: np.ndarray, y: np.ndarray, clean_weight: float = 1.0) -> float:
+    """The shift that puts the threshold at 0: with each kind at its weight in the labels, the fewest errors, in the widest gap."""
+    order = np.argsort(highest, kind="stable")
+    x, y = highest[order], y[order]
     errors = np.concatenate([[0], np.cumsum(y == 1)]) + clean_weight * (np.sum(y == 0) - np.concatenate([[0], np.cumsum(y == 0)]))
     ends = np.concatenate([[x[0] - 2], x, [x[-1] + 2]])
     gap = np.where(errors <= errors.min() + 1e-9, np.diff(ends), -1)
     best = int(np.argmax(gap))
-    net.shift = -float(ends[best] + ends[best + 1]) / 2
-    return net
+    return -float(ends[best] + ends[best + 1]) / 2
 
 
 class Scorer:
@@ -331,19 +340,33 @@ class Scorer:
             if at + len(new) > len(self.table):  # one batch of more words than the memo holds
                 self.table = np.concatenate([self.table, np.zeros((at + len(new) - len(self.table), 2, 3 * HIDDEN), np.float32)])
             self.row.update(zip(new, range(at, at + len(new)), strict=True))
-            self.table[at : at + len(new)] = self.net.projected(self.net.inputs(*word_features(new)))
-        out = []
-        windows, owners = [], []
+            for k in range(0, len(new), NEW_WORDS):
+                part = new[k : k + NEW_WORDS]
+                self.table[at + k : at + k + len(part)] = self.net.projected(self.net.inputs(*word_features(part)))
+        highest = np.full(len(split), -np.inf)
+        windows, owners, many = [], [], 0
         for k, s in enumerate(split):
             rows = np.zeros(len(s) + 1, np.int64)
             rows[: len(s)] = np.fromiter(map(self.row.__getitem__, s), np.int64, len(s))
-            windows.append(rows[windows_of(len(s))])
-            owners.append(np.full(len(windows[-1]), k))
-        logit = self.net.logits(self.table, np.concatenate(windows), 0)
-        highest = np.full(len(split), -np.inf)
-        np.maximum.at(highest, np.concatenate(owners), logit)
-        out = _sigmoid(highest + self.net.shift)
-        return out.tolist()
+            for at in range(0, max(len(s), 1), STRIDE * BLOCK):  # windows of a long text come in pieces
+                windows.append(rows[windows_of(len(s), at, at + STRIDE * BLOCK)])
+                owners.append(np.full(len(windows[-1]), k))
+                many += len(windows[-1])
+                if many >= BLOCK:
+                    self._raise(highest, windows, owners)
+                    windows, owners, many = [], [], 0
+        if many:
+            self._raise(highest, windows, owners)
+        return _sigmoid(highest + self.net.shift).tolist()
+
+    def _raise(self, highest: np.ndarray, windows: list[np.ndarray], owners: list[np.ndarray]) -> None:
+        np.maximum.at(highest, np.concatenate(owners), self.net.logits(self.table, np.concatenate(windows), 0))
+
+
+def _scorer(model: Network | float) -> Scorer | None:
+    """Of one task; what other operators remember in this worker goes first."""
+    held("toxicity", dict)
+    return None if isinstance(model, float) else Scorer(model)
 
 
 def held_out(doc_id):
@@ -381,12 +404,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | float:
     bounded_batches(docs.sparkSession)
     known = cut(training_labels(docs, labels))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    rows = sorted((r["doc_id"], r["toxic"], r["windows"]) for r in labelled_windows(docs, known).toArrow().to_pylist())
-    positive = sum(y for _, y, _ in rows)
+    sample = cut(labelled_windows(docs, known))
+    rows = [(r["toxic"], r["windows"]) for r in sorted(sample.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["toxic"], r["windows"]))]
+    positive = sum(y for y, _ in rows)
     if not 0 < positive < len(rows):
         return positive / max(len(rows), 1)
     weight = counts.get(0, 0) / (len(rows) - positive) / (counts[1] / positive)
-    return train([(y, w) for _, y, w in rows], weight)
+    net = train(rows)
+    ids = sorted((r["doc_id"], r["toxic"]) for r in sample.select("doc_id", "toxic").collect())
+    kept = ids[::CALIBRATED]
+    if not 0 < sum(y for _, y in kept) < len(kept):
+        kept = ids
+    own = docs.sparkSession.createDataFrame(sorted(set(kept)), "doc_id long, toxic int")
+    found = score(docs.join(F.broadcast(own), "doc_id", "left_semi"), net).join(own, "doc_id").select("score", "toxic").orderBy("score", "toxic").collect()
+    x = np.clip(np.array([r["score"] for r in found]), 1e-15, 1 - 1e-15)
+    net.shift = calibration(np.log(x / (1 - x)), np.array([r["toxic"] for r in found]), weight)
+    discard(known, sample)
+    return net
 
 
 def score(docs: DataFrame, model: Network | float) -> DataFrame:
@@ -397,7 +431,7 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        scorer = None if isinstance(sent.value, float) else Scorer(sent.value)
+        scorer = _scorer(sent.value)
         yield from rows_udf(["doc_id", "text"], schema, lambda i, t: {"doc_id": i, "score": scorer([x or "" for x in t]) if scorer else [sent.value] * len(i)})(batches)
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -411,7 +445,7 @@ def keep_clean(docs: DataFrame, model: Network | float) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        scorer = None if isinstance(sent.value, float) else Scorer(sent.value)
+        scorer = _scorer(sent.value)
         for b in batches:
             texts = [x or "" for x in b.column("text").to_pylist()]
             yield b.filter(pa.array([s < 0.5 for s in (scorer(texts) if scorer and texts else [sent.value] * len(texts))], pa.bool_()))
