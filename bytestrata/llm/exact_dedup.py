@@ -8,9 +8,9 @@ Each stage groups by the digest and the whole text, so two texts are never taken
 finds its group by digest; only digests that stand for more than one text (none, for SHA-256) are joined on whole texts.
 
 Defined cases: null texts and empty texts are one group, texts are compared unchanged; of equal texts the row with the largest
-doc_id stays, rows that tie in doc_id are one row's worth in keep_id and each counts in group_size (all of them are kept); a null doc_id
-loses to any other, and a group of null ids has keep_id null; texts may be of any length; an empty table gives an
-empty result; other columns stay unread.
+doc_id stays, whatever other texts have that doc_id; rows equal in doc_id and text are one document: each counts in group_size, they are
+flagged alike, and deduplicate() leaves one of them; a null doc_id loses to any other, and a group of null ids has keep_id null and its
+rows flagged as kept; texts may be of any length; an empty table gives an empty result; other columns stay unread.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm.common import cut, table
+from bytestrata.llm.common import cut, one_of_each, table
 
 SALTS = 16
 
@@ -56,9 +56,9 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of docs that stay, exactly one of each text, with all their columns."""
+    kept = cut(exact_groups(docs).filter("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")))
+    return one_of_each(docs, kept, sha256(F.coalesce("text", F.lit(""))))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,6 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
