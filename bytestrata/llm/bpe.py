@@ -30,8 +30,8 @@ from tokenizers import Tokenizer
 from bytestrata.llm.common import bounded_batches, documents, held, rows_udf
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces between white space, and words within them, that a worker remembers; longer ones are not kept.
-PIECE_MEMO, WORD_MEMO, MEMO_LENGTH = 300_000, 250_000, 64
+#: Pieces between white space, and words within them, of a generation that a worker remembers; longer ones are not kept.
+MEMO, MEMO_LENGTH = 400_000, 64
 #: Stands behind the last symbol of a word in place of the vocabulary's word-end suffix.
 END = "\0"
 #: Characters that str.split() takes for white space and the vocabulary's pattern does not.
@@ -73,6 +73,7 @@ class WordEncoder:
             self.pair[self.rank[a], self.rank[b]] = k
         self.id_bytes = [self.ids[t].to_bytes(4, "little") for t in self.token]
         self.length = [len(t) for t in self.token]
+        self.widest = max(self.length)
         self.shorter = [-1] * len(self.token)
         for t, r in self.rank.items():
             self.shorter[r] = next((self.rank[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.rank), -1)
@@ -111,45 +112,45 @@ class WordEncoder:
         s, n = word + END, len(word) + 1
         # mostly the longest entries, one after the other, can stand side by side
         out: list[int] = []
-        at = 0
+        at, length = 0, self.length
         for end, r in self.automaton.iter_long(s):
-            if out and not self.compatible(out[-1], r):
+            if end + 1 - length[r] != at or (out and not self.compatible(out[-1], r)):
                 break
             out.append(r)
-            at += self.length[r]
-            if at != end + 1:
-                break
-        else:
-            if at == n:
-                return b"".join(map(self.id_bytes.__getitem__, out))
-        return self.walk(s, n)
-
-    def walk(self, s: str, n: int) -> bytes:
-        """With steps back."""
-        longest = [-1] * n
-        length = self.length
-        for end, r in self.automaton.iter(s):
-            at = end + 1 - length[r]
-            if longest[at] < 0 or length[r] > length[longest[at]]:
-                longest[at] = r
+            at = end + 1
+        if at < n:
+            self.walk(s, n, out, at)
+        return b"".join(map(self.id_bytes.__getitem__, out))
+
+    def longest(self, s: str, at: int) -> int:
+        """The longest entry that starts at a position, or -1: the automaton's trie says how far any entry goes on with these symbols."""
+        s = s[at : at + self.widest]
+        for n in range(self.automaton.longest_prefix(s), 0, -1):
+            r = self.rank.get(s[:n])
+            if r is not None:
+                return r
+        return -1
+
+    def walk(self, s: str, n: int, out: list[int], at: int) -> None:
+        """Go on from the entries in out, which end at a position, with steps back; no position is left twice."""
+        length, shorter, compatible = self.length, self.shorter, self.compatible
         alive = bytearray(b"\1") * (n + 1)
         alive[n - 1] = 0  # the end mark belongs to the last symbol
-        out: list[int] = []
-        at, r = 0, longest[0]
+        r = self.longest(s, at)
         while True:
-            while r >= 0 and not (alive[at + length[r]] and (not out or self.compatible(out[-1], r))):
-                r = self.shorter[r]
+            while r >= 0 and not (alive[at + length[r]] and (not out or compatible(out[-1], r))):
+                r = shorter[r]
             if r >= 0:
                 out.append(r)
                 at += length[r]
                 if at == n:
-                    return b"".join(map(self.id_bytes.__getitem__, out))
-                r = longest[at]
+                    return
+                r = self.longest(s, at)
             else:
                 alive[at] = 0
                 r = out.pop()
                 at -= length[r]
-                r = self.shorter[r]
+                r = shorter[r]
 
 
 class Codec:
@@ -165,11 +166,9 @@ class Codec:
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.as_bytes = str.maketrans({b: c for b, c in enumerate(self.alphabet)})
-        # memos of two generations each: when one is full it becomes the old one, and what is still met moves over
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.old_known: dict[str, bytes] = {}
+        # a memo of two generations: when one is full it becomes the old one, and what is still met moves over
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
         strings = [b""] * size
         for t, i in [*model["vocab"].items(), *self.special.items()]:
@@ -178,42 +177,37 @@ class Codec:
         self.lengths = np.array([*map(len, strings)], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
 
-    def word(self, word: str) -> bytes:
-        """A word of the pre-tokenizer."""
-        ids = self.old_known.get(word)
-        if ids is None:
-            ids = self.words.encode(word.encode().decode("latin-1").translate(self.as_bytes))
-        if len(word) <= MEMO_LENGTH:
-            if len(self.known) >= WORD_MEMO:
-                self.old_known, self.known = self.known, {}
-            self.known[word] = ids
-        return ids
-
     def split(self, text: str) -> bytes:
         """Any text, normalised and split by the library."""
         normal = self.library.normalizer.normalize_str(text)
         return b"".join(self.words.encode(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
 
     def piece(self, piece: str) -> bytes:
-        """A piece of text without white space."""
-        ids = self.old_pieces.get(piece)
+        """A piece of text without white space, or a word of one: a word by itself is a piece of one word."""
+        ids = self.old.get(piece)
         if ids is None:
-            if LATIN.fullmatch(piece):
-                known = self.known.get
-                ids = b"".join([known(w) or self.word(w) for w in LATIN_WORDS.findall(piece.lower())])
+            if piece.isascii() and piece.isalpha() and piece.islower():
+                ids = self.words.encode(piece)
+            elif LATIN.fullmatch(piece):
+                words = LATIN_WORDS.findall(piece.lower())
+                if words == [piece]:
+                    ids = self.words.encode(piece.encode().decode("latin-1").translate(self.as_bytes))
+                else:
+                    known = self.memo.get
+                    ids = b"".join([known(w) or self.piece(w) for w in words])
             else:
                 ids = self.split(piece)
         if len(piece) <= MEMO_LENGTH:
-            if len(self.pieces) >= PIECE_MEMO:
-                self.old_pieces, self.pieces = self.pieces, {}
-            self.pieces[piece] = ids
+            if len(self.memo) >= MEMO:
+                self.old, self.memo = self.memo, {}
+            self.memo[piece] = ids
         return ids
 
     def plain(self, text: str) -> bytes:
         if SEPARATORS.search(text):
             return self.split(text)
         pieces = text.split()
-        found = [*map(self.pieces.get, pieces)]
+        found = [*map(self.memo.get, pieces)]
         if None in found:
             found = [self.piece(p) if x is None else x for p, x in zip(pieces, found, strict=True)]
         return b"".join(found)
