@@ -2,13 +2,14 @@
 
 Base spans come from fixed patterns (KINDS). They are the seeds of a pattern-instance graph: an instance is an identifier's string, a
 pattern the words around it (the two before; or the one before and the one after). Identifier-like strings that no base pattern takes are
-candidates. Spark scores the graph in turns: a pattern is worth the share of its instances that are known to be of one kind, an instance
-what its patterns are worth together. Patterns with at least SUPPORT seeds and CONFIDENCE pass their kind on to
-candidates, whose other contexts can then qualify too. All mentions of an accepted instance become spans.
+candidates. Spark scores the graph in turns: a pattern is worth the share of its instances that are known to be of one kind, where an
+instance of another kind counts against it in full and an unknown one by UNKNOWN; an instance is worth what its patterns are
+together. Patterns with at least SUPPORT seeds and CONFIDENCE pass their kind on to candidates (tokens with an @ or at least DIGITS
+digits), whose other contexts can then qualify too. All mentions of an accepted instance become spans.
 
 Defined cases: null counts as the empty text, which has no spans; texts may be of any length, all patterns take linear time; rows that
 repeat are found alike (distinct instances, not mentions, count in the graph); spans of one kind never overlap, those of different kinds
-may, an added span overlaps no base span; an empty table gives an empty result; other columns stay unread.
+may, an added span overlaps no base span; one doc_id (or none) may stand over several texts, whose spans are kept apart; an empty table gives an empty result; other columns stay unread.
 """
 
 from __future__ import annotations
@@ -16,14 +17,13 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm.common import bounded_batches, cut, rows_udf, table
+from bytestrata.llm.common import bounded_batches, cut, discard, rows_udf, table
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, CONFIDENCE, TURNS = 5, 0.8, 3
+SUPPORT, CONFIDENCE, UNKNOWN, TURNS = 5, 0.8, 0.25, 3
 #: Digits of a candidate; characters around a mention in which its context words lie.
 DIGITS, AROUND = 7, 80
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -122,48 +122,35 @@ def _structs(spans) -> list[dict[str, int]]:
     return [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
 
-def _key(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
-
-
-def find_base(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans): base spans of every whole text."""
-    bounded_batches(docs.sparkSession)
-
-    def f(doc_id: list, text: list) -> dict:
-        text = [t or "" for t in text]
-        return {"doc_id": doc_id, "text_key": [*map(_key, text)], "spans": [_structs(base_spans(t)) for t in text]}
-
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", _SPANS)])
-    return docs.select("doc_id", "text").mapInArrow(rows_udf(["doc_id", "text"], schema, f), f"doc_id long, text_key long, spans {_SPAN}")
+def text_key() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def find_mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, kind, start, end, instance, patterns): seeds and candidates (kind -1)."""
+    """(doc_id, text_key, base, mentions) of every whole text, each scanned once: mentions are seeds and candidates (kind -1)."""
     bounded_batches(docs.sparkSession)
-    names = ("doc_id", "text_key", "kind", "start", "end", "instance", "patterns")
-    long = pa.int64()
-    schema = pa.schema(zip(names, (long, long, pa.int32(), long, long, pa.string(), pa.list_(pa.string())), strict=True))
 
-    def f(doc_id: list, text: list) -> dict:
-        out = {k: [] for k in names}
-        for i, t in zip(doc_id, text, strict=True):
-            if t and (found := mentions(t, base_spans(t))):
-                key = _key(t)
-                for row in found:
-                    for k, v in zip(names, (i, key, *row), strict=True):
-                        out[k].append(v)
-        return out
+    def f(doc_id: list, text_key: list, text: list) -> dict:
+        base, found = [], []
+        for t in text:
+            own = base_spans(t or "")
+            base.append(_structs(own))
+            found.append([dict(zip(("kind", "start", "end", "instance", "patterns"), x, strict=True)) for x in mentions(t or "", own)])
+        return {"doc_id": doc_id, "text_key": text_key, "base": base, "mentions": found}
 
-    ddl = "doc_id long, text_key long, kind int, start long, end long, instance string, patterns array<string>"
-    return docs.select("doc_id", "text").mapInArrow(rows_udf(["doc_id", "text"], schema, f), ddl)
+    mention = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("base", _SPANS), ("mentions", pa.list_(mention))])
+    ddl = f"doc_id long, text_key long, base {_SPAN}, mentions array<struct<kind:int,start:long,end:long,instance:string,patterns:array<string>>>"
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(rows_udf(["doc_id", "text_key", "text"], schema, f), ddl)
 
 
 def accepted_instances(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(instance, kind) of candidates that the graph's patterns vouch for; found: what find_mentions returns."""
+    """(instance, kind) of candidates that the graph's patterns vouch for; found: the mentions, a row each."""
     edges = cut(found.select("instance", "kind", F.explode("patterns").alias("pattern")).distinct())
     size = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("n"), F.countDistinct(F.when(F.col("kind") >= 0, F.col("instance"))).alias("seeds"))
-    size = cut(size.filter(F.col("seeds") >= support))
+    against = F.col("seeds") + UNKNOWN * (F.col("n") - F.col("seeds"))  # what all instances weigh while the candidates are unknown
+    size = cut(size.filter(F.col("seeds") >= support).withColumn("weight", against))
     seeds = edges.filter("kind >= 0").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     useful = cut(edges.join(size.select("pattern"), "pattern", "left_semi"))
     open_ = useful.filter("kind < 0").select("pattern", "instance").distinct()
@@ -171,7 +158,7 @@ def accepted_instances(found: DataFrame, support: int = SUPPORT, confidence: flo
     for _ in range(TURNS):
         mass = useful.select("pattern", "instance").distinct().join(scores, "instance").groupBy("pattern", "kind")
         mass = mass.agg(F.sum("score").alias("mass"), F.sum((F.col("score") >= 1).cast("int")).alias("support"))
-        worth = mass.join(size, "pattern").withColumn("worth", F.col("mass") / (F.col("n") + 1)).filter((F.col("worth") >= confidence) & (F.col("support") >= support))
+        worth = mass.join(size, "pattern").withColumn("worth", F.col("mass") / (F.greatest("weight", "mass") + 1)).filter((F.col("worth") >= confidence) & (F.col("support") >= support))
         reached = open_.join(worth.select("pattern", "kind", "worth"), "pattern").groupBy("instance", "kind")
         reached = reached.agg((1 - F.exp(F.sum(F.log(1 - F.col("worth"))))).alias("score"))
         best = reached.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("best"))
@@ -183,19 +170,20 @@ def accepted_instances(found: DataFrame, support: int = SUPPORT, confidence: flo
     return accepted
 
 
-def added_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, added): spans of accepted instances."""
-    found = cut(find_mentions(docs))
-    new = found.filter("kind < 0").drop("kind").join(accepted_instances(found), "instance")
+def added_spans(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, added): spans of accepted instances; found: what find_mentions wrote."""
+    rows = found.select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.*")
+    new = rows.filter("kind < 0").drop("kind").join(accepted_instances(rows), "instance")
     span = F.struct(F.col("kind"), F.col("start"), F.col("end"))
     return new.groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("added"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of (kind, start, end), sorted by kind and start; spans holds base and what the method adds."""
-    base, added = find_base(docs), cut(added_spans(docs))
-    both = base.join(added, base["doc_id"].eqNullSafe(added["doc_id"]) & (base["text_key"] == added["text_key"]), "left")
-    return both.select(base["doc_id"], base["spans"].alias("base"), F.array_sort(F.concat(base["spans"], F.coalesce("added", F.array().cast(_SPAN)))).alias("spans"))
+    found = cut(find_mentions(docs))
+    added = cut(added_spans(found))
+    both = found.join(added, found["doc_id"].eqNullSafe(added["doc_id"]) & (found["text_key"] == added["text_key"]), "left")
+    return both.select(found["doc_id"], "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPAN)))).alias("spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -207,22 +195,23 @@ def mask(docs: DataFrame) -> DataFrame:
     """docs with each span's text replaced by its kind in brackets and n_chars following, where docs has it; null texts stay null."""
     bounded_batches(docs.sparkSession)
     columns, schema, name = docs.columns, docs.schema, "__added"
-    while name in columns:
+    while {name, name + "_of", name + "_key"} & set(columns):
         name += "_"
-    added = cut(added_spans(docs))
+    found = cut(find_mentions(docs).select("doc_id", "text_key", "mentions").filter(F.size("mentions") > 0))
+    added = cut(added_spans(found))
+    discard(found)
     if added.isEmpty():
-        rows = docs.withColumn(name, F.lit(None).cast(f"array<struct<text_key:long,added:{_SPAN}>>"))
+        rows = docs.withColumn(name, F.lit(None).cast(_SPAN))
     else:
-        own = added.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "added")).alias(name)).withColumnRenamed("doc_id", "__of")
-        rows = docs.join(own, docs["doc_id"].eqNullSafe(own["__of"]), "left").select(*(docs[c] for c in columns), own[name])
+        own = added.select(F.col("doc_id").alias(name + "_of"), F.col("text_key").alias(name + "_key"), F.col("added").alias(name))
+        rows = docs.join(own, docs["doc_id"].eqNullSafe(own[name + "_of"]) & (text_key() == own[name + "_key"]), "left").select(*(docs[c] for c in columns), own[name])
 
     def run(batches):
         for b in batches:
             text, count = [], []
             for t, more in zip(b.column("text").to_pylist(), b.column(name).to_pylist(), strict=True):
                 if t is not None:
-                    extra = [x for y in more or () if y["text_key"] == _key(t) for x in y["added"]]
-                    spans = sorted([(a, z, k) for k, a, z in base_spans(t)] + [(x["start"], x["end"], x["kind"]) for x in extra])
+                    spans = sorted([(a, z, k) for k, a, z in base_spans(t)] + [(x["start"], x["end"], x["kind"]) for x in more or ()])
                     parts, at = [], 0
                     for a, z, k in spans:
                         if a >= at:
