@@ -216,7 +216,7 @@ def index(media: DataFrame, id_column: str = "doc_id", column: str = "media") ->
 
 def digests(media: DataFrame) -> DataFrame:
     """The containers of store(), read back through their own tables: digests, and a feature of codec, duration and key frames."""
-    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "key_frames")
 
     def f(doc_id: list, n_bytes: list, data: list) -> dict:
         out = {k: [] for k in names}
@@ -225,16 +225,16 @@ def digests(media: DataFrame) -> DataFrame:
             payload = read_back(x, p)
             keys = ",".join(f"{a}+{b}" for a, b in zip(p["offsets"][p["keys"]].tolist(), p["sizes"][p["keys"]].tolist(), strict=True))
             feature = f"codec={p['codec'].strip()};duration={p['duration']}/{p['timescale']};samples={len(p['sizes'])};keyframes={len(p['keys'])};ranges_crc32={zlib.crc32(keys.encode())}"
-            for k, v in zip(names, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(x), hashlib.sha256(x).hexdigest(), feature), strict=True):
+            for k, v in zip(names, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(x), hashlib.sha256(x).hexdigest(), feature, key_ranges(p)), strict=True):
                 out[k].append(v)
         return {"doc_id": doc_id, "n_bytes": n_bytes} | out
 
     long, text = pa.int64(), pa.string()
-    schema = pa.schema([("doc_id", long), ("n_bytes", long), *zip(names, (long, text, long, long, text, text), strict=True)])
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = pa.schema([("doc_id", long), ("n_bytes", long), *zip(names, (long, text, long, long, text, text, _RANGES), strict=True)])
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, key_frames array<struct<offset:long,length:long>>"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(rows_udf(["doc_id", "n_bytes", "media"], schema, f), ddl)
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, key_frames of every document."""
     return digests(store(documents(spark, sf_dir)))
