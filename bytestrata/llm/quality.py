@@ -5,7 +5,8 @@ order of their ids' hashes, none of which is in the held-out fold), gives each d
 paths gather those of all their documents by grouped aggregation. A host's mean is shrunk towards the global mean, a path's towards its
 host's, by pseudo-counts estimated from how much the means differ beyond what chance explains: a site with few
 documents keeps the prior. A document's own probability is taken out of its site's sums, so it does not speak twice. The posterior
-odds are the likelihood ratio times the odds of the site's shrunk mean.
+odds are the likelihood ratio times the odds of the site's shrunk mean. Tables with a URL get host and path by with_site(); documents has
+none, so op10 takes `source` for the host and `lang` for the path.
 
 Defined cases: null counts as the empty text; null hosts are one host, null paths of a host one path; texts may be of any length; rows that
 repeat count as often as they occur; contradicting labels of a document count as low quality, labels other than 0 and 1 are passed
@@ -94,6 +95,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple | None:
     return fit_logistic(x, y, weight / weight.mean()), total[1] / (total[0] + total[1])
 
 
+def with_site(docs: DataFrame, url: str = "url", host: str = "host", path: str = "path") -> DataFrame:
+    """docs with the host (lower case, without a leading www. and the port) and the first level of the path of their URLs, for tables that
+    have one; null and malformed URLs give null."""
+    of = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:]+)", 1)
+    level = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)", 1)
+    return docs.withColumn(host, F.lower(F.when(of != "", of))).withColumn(path, F.when(of != "", F.when(level != "", level).otherwise("/")))
+
+
 def evidence(docs: DataFrame, model: tuple | None, host: str = "source", path: str = "lang") -> DataFrame:
     """(doc_id, host, path, evidence): the classifier's probability of every whole text."""
     bounded_batches(docs.sparkSession)
