@@ -1,5 +1,6 @@
 """Training-data operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import bisect
 import hashlib
 import json
 import math
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from bytestrata.llm import bpe, exact_dedup, lm_score, media, near_dup, packing, pii, quality, substring_dedup, toxicity
-from bytestrata.llm.common import LOCAL_CHECKPOINTS, table
+from bytestrata.llm.common import table
 
 PATH = public_tokenizers.path(bpe.VOCABULARY)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, label int, bucket string, rep long, __added string"
@@ -35,12 +36,14 @@ def make(spark, texts, first=0):
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    """Nulls, empty and white texts, ties, a repeated row, a long text, unusual characters."""
+    """Nulls, empty and white texts, ties, a repeated row, a long text, unusual characters, null ids and one id over several texts that share passages."""
     long = " ".join(words(30_000, 5))
     texts = [None, "", "", " \n\t", "same text here", "same text here", "Ünïcode ΣΑΣ 中文 😀 \x1c \x00 don't", "a@b.co, +1 (234) 555-6789, 10.0.0.1, 4111 1111 1111 1111", long, "!!! ... ", "one"]
     df = make(spark, texts)
-    null_row = [(None, "no id", None, None, None, None, None, None, None, None)]
-    return df.unionByName(df.filter("doc_id = 4")).unionByName(spark.createDataFrame(null_row, SCHEMA)).cache()
+    shared, rest = words(120, 8), [None] * 8
+    more = [(None, "no id", *rest), (None, " ".join(shared), *rest), (None, " ".join(words(300, 9) + shared), *rest), (None, " ".join(shared), *rest)]
+    more += [(20, " ".join(shared[:60]), *rest), (20, " ".join(words(200, 10) + shared[20:]), *rest), (21, " ".join([*shared, "end"]), *rest), (21, " ".join([*shared[:-1], "last"]), *rest)]
+    return df.unionByName(df.filter("doc_id = 4")).unionByName(spark.createDataFrame(more, SCHEMA)).cache()
 
 
 @pytest.fixture(scope="module")
@@ -69,8 +72,7 @@ def test_bpe_equals_the_library():
 
 
 def test_bpe_memo_generations(monkeypatch):
-    monkeypatch.setattr(bpe, "PIECE_MEMO", 3)
-    monkeypatch.setattr(bpe, "WORD_MEMO", 2)
+    monkeypatch.setattr(bpe, "MEMO", 3)
     c, t = bpe.Codec(PATH), Tokenizer.from_file(PATH)
     for s in ["the cat sat on the mat, the end", "The Cat! the cat; on a mat"] * 3:
         assert np.frombuffer(c.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
@@ -94,21 +96,86 @@ def test_plan_is_whole_and_tight():
         plan = packing.Plan(dict(Counter(lengths.tolist())))
         got = Counter()
         for own, times in plan.segments:
-            assert sum(own) <= 4096
-            got.update({k: v * times for k, v in Counter(own).items()})
+            assert sum(length * number for length, number in own) <= 4096
+            for length, number in own:
+                got[length] += number * times
         assert got == Counter(lengths.tolist())
         assert plan.sequences <= math.ceil(lengths.sum() / 4096 * 1.01) + 1
     with pytest.raises(ValueError):
         packing.Plan({5000: 1})
 
 
-def test_configuration_covers():
-    sizes, demand = np.array([300, 500, 700]), np.array([100, 80, 60])
-    found = packing.configuration_lp(sizes, demand, 1000)
-    assert all(c @ sizes <= 1000 for c, _ in found)
-    assert (sum(c * x for c, x in found) <= demand + 1e-6).all()
-    counts, value = packing.best_configuration(np.array([3, 4, 5]), np.array([4.0, 5.0, 7.0]), np.array([1, 2, 1]), 9)
-    assert value == 12.0 and counts.tolist() == [0, 1, 1]
+def uniform(n, low, high):
+    return dict(Counter(np.random.default_rng(0).integers(low, high, n).tolist()))
+
+
+def best_fit_decreasing(histogram, capacity=4096):
+    """The plain rule, piece by piece."""
+    rooms = []
+    for length in sorted((k for k, v in histogram.items() for _ in range(v)), reverse=True):
+        at = bisect.bisect_left(rooms, length)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - length)
+    return len(rooms)
+
+
+CASES = {
+    "ones": {1: 100_000}, "fives": {5: 100_000}, "halves": {2047: 1000, 2049: 1000}, "two": {33: 10_000, 37: 10_000},
+    "short": uniform(30_000, 100, 3000), "middle": uniform(30_000, 1000, 3100), "full": {4096: 7}, "any": uniform(9000, 1, 4097),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_plan_is_as_tight_as_best_fit(name):
+    plan = packing.Plan(CASES[name])
+    assert plan.bound <= plan.sequences <= best_fit_decreasing(CASES[name])
+
+
+def test_program_beats_best_fit():
+    """Lengths that fill sequences only in certain threes and fours."""
+    plan = packing.Plan({1366: 3000, 1365: 3000, 1364: 3000, 2000: 100_000, 1500: 70_000, 1100: 300_000})
+    plain = packing.Filling(4096, {}, {1366: 3000, 1365: 3000, 1364: 3000, 2000: 100_000, 1500: 70_000, 1100: 300_000})
+    assert plan.sequences <= 1.012 * plan.bound < 0.95 * plain.sequences
+
+
+def test_slots_are_places():
+    histogram = uniform(3000, 1, 2000) | {3: 5000}
+    plan, places = packing.Plan(histogram), {}
+    ranks = Counter()
+    for length, first, times, base, offset in plan.slots().tolist():
+        assert first == ranks[length]
+        number = next(n for n in range(1, 4097) if first + n * times == histogram[length] or any(s[0] == length and s[1] == first + n * times for s in plan.slots().tolist()))
+        ranks[length] += number * times
+        for k in range(number * times):
+            places.setdefault(base + k % times, []).append((offset + k // times * length, length))
+    assert ranks == histogram
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+def test_knapsack():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        sizes = np.unique(r.integers(2, 30, 5))
+        prices = r.random(len(sizes)) * sizes
+        table = packing.Knapsack(sizes, prices, 60)
+        want = np.zeros(61)
+        for c in range(1, 61):
+            want[c] = max([want[c - 1], *(want[c - s] + p for s, p in zip(sizes, prices) if s <= c)])
+        assert np.allclose(table.value, want)
+        got = table.configuration(int(sizes[0]), 60)
+        assert sum(k * v for k, v in got.items()) <= 60
+        assert abs(sum(prices[list(sizes).index(k)] * v for k, v in got.items()) - prices[0] - want[60 - sizes[0]]) < 1e-9
+
+
+def test_lower_bound_holds():
+    """A program of three lengths that is solved by hand: 100 of 500 fill 50 sequences of 1000, 90 of 300 fill 30."""
+    uses, bound, _ = packing.configuration_lp(np.array([300, 500]), np.array([90, 100]), 1000, 120, np.zeros(2))
+    assert bound <= 80 + 1e-9 and all(sum(a * b for a, b in c) <= 1000 for c in uses)
 
 
 def check_packed(df, docs):
@@ -123,14 +190,12 @@ def check_packed(df, docs):
             assert offset == at
             at += length
         assert at <= 4096
-    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
-    for r in out:
-        ids = [*t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
-        own = ids[r["start"] : r["start"] + r["length"]]
-        assert r["start"] == 4096 * r["piece"] and len(own) == r["length"]
-        assert r["length"] == 4096 or r["start"] + r["length"] == len(ids)
-        assert zlib.crc32(np.array(own, "<u4").tobytes()) == r["ids_crc32"]
-        seen[r["doc_id"]] += r["length"]
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            own = ids[at : at + 4096]
+            seen[doc_id, piece, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())] += 1
+    assert seen == Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out)
     return out
 
 
@@ -158,17 +223,28 @@ def test_exact_groups(odd, digest):
     want = {}
     for r in odd.collect():
         want.setdefault(r.text or "", []).append(r.doc_id)
-    for r in rows(exact_dedup.exact_groups(odd, digest, 3)):
-        group = next(v for v in want.values() if r["doc_id"] in v)
+    expected = Counter()
+    for group in want.values():
         keep = max((x for x in group if x is not None), default=None)
-        assert (r["keep_id"], r["group_size"], r["kept"]) == (keep, len(group), r["doc_id"] == keep)
-    assert exact_dedup.exact_groups(odd, digest).count() == odd.count()
+        expected.update((x, keep, len(group), x == keep) for x in group)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows(exact_dedup.exact_groups(odd, digest, 3))) == expected
+
 
+def whole_rows(df):
+    return Counter(map(tuple, df.collect()))
 
-def test_exact_dedup_keeps_columns(odd, empty):
+
+def test_exact_dedup_keeps_columns(spark, odd, empty):
     kept = exact_dedup.deduplicate(odd)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {2, 3, 5, 6, 7, 8, 9, 10, None}
+    assert kept.columns == odd.columns and not whole_rows(kept) - whole_rows(odd)
+    texts = {}
+    for r in odd.collect():
+        texts.setdefault(r.text or "", set()).add(r.doc_id)
+    out = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert len(out) == len(texts) and {t: i for i, t in out} == {t: max((x for x in i if x is not None), default=None) for t, i in texts.items()}
     assert exact_dedup.deduplicate(empty).count() == 0
+    tied = spark.createDataFrame([(i, t, *[None] * 8) for i, t in [(5, "x"), (9, "x"), (5, "y"), (4, "y"), (8, "z"), (8, "z"), (None, "z"), (None, "n"), (None, "n")]], SCHEMA)
+    assert sorted((r.text, r.doc_id) for r in exact_dedup.deduplicate(tied).collect()) == [("n", None), ("x", 9), ("y", 5), ("z", 8)]
 
 
 # --- media
@@ -176,8 +252,9 @@ def test_exact_dedup_keeps_columns(odd, empty):
 
 def test_media_round_trip_and_index(odd, empty):
     stored = media.store(odd)
-    for r in stored.collect():
-        text = next(x.text for x in odd.collect() if x.doc_id == r.doc_id) or ""
+    texts = sorted((x.text or "" for x in odd.collect()), key=lambda t: t.encode())
+    stored_rows = sorted(stored.collect(), key=lambda r: media.read_back(r.media, media.probe(r.media))[: r.n_bytes])
+    for r, text in zip(stored_rows, texts, strict=True):
         found = media.probe(r.media)
         assert media.read_back(r.media, found) == media.padded(text.encode()) and r.n_bytes == len(text.encode())
         for k in media.key_ranges(found)[:3]:
@@ -187,6 +264,7 @@ def test_media_round_trip_and_index(odd, empty):
     for r in rows(media.digests(stored)):
         assert r["payload_bytes"] % 64 == 0 and r["payload_bytes"] > 0
         by_text.setdefault(r["payload_sha256"], set()).add((r["media_sha256"], r["feature"]))
+        assert r["key_frames"] and str(len(r["key_frames"])) in r["feature"]
     assert all(len(v) == 1 for v in by_text.values())
     assert media.digests(media.store(empty)).count() == 0
 
@@ -239,6 +317,28 @@ def test_bootstrapped_contexts(spark, odd, empty):
     assert pii.find(odd).count() == odd.count() and pii.find(empty).count() == 0 and pii.mask(empty).count() == 0
 
 
+def test_added_spans_of_shared_ids(spark):
+    """Null ids, and one id over several texts: each text gets its own spans."""
+    seeds = [(k, f"some text {k} call hotline at number +1 (5{k:02d}) 555-01{k:02d} today") for k in range(30)]
+    new = [(i, f"{'w ' * n}call hotline at number 55501997{n:02d} today") for n, i in enumerate([None, None, None, 77, 77], 2)]
+    docs = spark.createDataFrame([(i, t, *[None] * 8) for i, t in [*seeds, *new, new[0]]], SCHEMA)
+    out = [r for r in rows(pii.find(docs)) if r["base"] == []]
+    assert sorted(s["start"] for r in out for s in r["spans"]) == sorted(2 * n + 23 for n in (2, 2, 3, 4, 5, 6))
+    masked = Counter(r["text"] for r in rows(pii.mask(docs)))
+    assert all(masked[f"{'w ' * n}call hotline at number [PHONE] today"] == 1 + (n == 2) for n in (2, 3, 4, 5, 6))
+
+
+def test_unknown_instances_weigh_less(spark):
+    """Forty new identifiers in a context of sixty seeds are found; an equal share of seeds of another kind stops it."""
+    seeds = [f"w{k} v{k} call hotline at number +1 (5{k:02d}) 555-01{k:02d} today" for k in range(60)]
+    new = [f"w{k} v{k} call hotline at number 55501{k:05d} today" for k in range(40)]
+    other = [f"w{k} v{k} call hotline at number a{k}@b{k}.org today" for k in range(40)]
+    found = rows(pii.find(make(spark, seeds + new)))
+    assert all(len(r["spans"]) == 1 for r in found)
+    mixed = {r["doc_id"]: r for r in rows(pii.find(make(spark, seeds + other + new)))}
+    assert all(mixed[k]["spans"] == [] for k in range(100, 140))
+
+
 # --- near duplicates
 
 
@@ -297,7 +397,9 @@ def candidates_of(spark, monkeypatch, texts, buckets):
         return pairs.limit(0)
 
     monkeypatch.setattr(near_dup, "verified", aligned)
-    near_dup._settle(members, hubs, labels, near_dup.packed_words(make(spark, texts)), group=4)
+    packed = {bytes(r.words_key): bytes(r.words) for r in near_dup.packed_words(make(spark, texts)).collect()}
+    packed = spark.createDataFrame([(k, packed[near_dup._key(near_dup.normal_words(t), t)]) for k, t in enumerate(texts)], "rep long, words binary")
+    near_dup._settle(members, hubs, labels, packed, group=4)
     signs = [np.frombuffer(near_dup.signature(k), np.uint8) for k in kmers]
     near = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (signs[i] == signs[j]).sum() >= near_dup.ESTIMATE * near_dup.LEAST_KMERS}
     return seen, near
@@ -324,8 +426,20 @@ def test_pairs_of_small_buckets_that_share_a_large_one(spark, monkeypatch):
 def test_near_rows(odd, empty):
     out = rows(near_dup.near_duplicates(odd))
     assert len(out) == odd.count() and sum(r["class_id"] == 4 for r in out) == 3
+    plain = odd.select("doc_id", "text").collect()
+    classes = brute_classes({k: r.text for k, r in enumerate(plain)})
+    groups = {}
+    for k, c in classes.items():
+        groups.setdefault(c, []).append(plain[k].doc_id)
+    want = Counter()
+    for ids in groups.values():
+        name = min((x for x in ids if x is not None), default=None)
+        want.update((x, name) for x in ids)
+    assert Counter((r["doc_id"], r["class_id"]) for r in out) == want
     kept = near_dup.deduplicate(odd)
-    assert kept.columns == odd.columns and 5 not in {r.doc_id for r in kept.collect()}
+    assert kept.columns == odd.columns and kept.count() == len(groups) and 5 not in {r.doc_id for r in kept.collect()}
+    left = {k: r.text for k, r in enumerate(kept.select("doc_id", "text").collect())}
+    assert brute_classes(left) == {k: k for k in left}
     assert near_dup.near_duplicates(empty).count() == 0
 
 
@@ -340,21 +454,27 @@ def test_order_counts():
 # --- substring dedup
 
 
-def brute_substrings(texts):
-    seen, split = {}, {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in texts.items()}
-    for i in sorted(split):
-        for k in range(len(split[i]) - 49):
-            seen.setdefault(tuple(split[i][k : k + 50]), i)
-    out = {}
-    for i, w in split.items():
+def brute_substrings(rows_):
+    """Of (doc_id, text) rows; a null id is larger than any other."""
+    seen, split = {}, [(float("inf") if i is None else i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows_]
+    for i, w in split:
+        for k in range(len(w) - 49):
+            own = tuple(w[k : k + 50])
+            seen[own] = min(i, seen.get(own, i))
+    out = Counter()
+    for (i, w), (doc_id, _) in zip(split, rows_, strict=True):
         gone = [False] * len(w)
         for k in range(len(w) - 49):
             if seen[tuple(w[k : k + 50])] < i:
                 gone[k : k + 50] = [True] * 50
-        out[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())
+        out[doc_id, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()] += 1
     return out
 
 
+def removed(docs):
+    return Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in rows(substring_dedup.remove_repeats(docs)))
+
+
 def test_substrings(spark, odd, empty):
     r, shared = random.Random(3), [words(n, 40 + n) for n in (49, 50, 51, 70, 200)]
     texts = []
@@ -363,18 +483,28 @@ def test_substrings(spark, odd, empty):
         for s in r.sample(shared, 2):
             at = r.randrange(len(w) + 1)
             w[at:at] = s
-        texts.append(r.choice([" ", "\n", "  "]).join(w))
+        texts.append(r.choice([" ", "\n", "  "]).join(w))
     texts += [texts[3], texts[3] + " ", None, "", "x " * 500, "x " * 300]
     docs = make(spark, texts)
-    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in rows(substring_dedup.remove_repeats(docs))}
-    assert got == brute_substrings(dict(enumerate(texts)))
+    assert removed(docs) == brute_substrings([*enumerate(texts)])
     for x in rows(substring_dedup.remove_repeats(docs)):
         assert sum(s["end"] - s["start"] for s in x["removed"]) == x["n_removed"]
-    out = rows(substring_dedup.remove_repeats(odd))
-    assert len(out) == odd.count() and all(x["n_removed"] == 0 for x in out)
+    assert removed(odd) == brute_substrings([(x.doc_id, x.text) for x in odd.collect()])
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_shared_ids(spark):
+    """Ids that are null or stand over several texts, each of other length, with passages in common; and the table united with itself."""
+    r, shared = random.Random(4), words(300, 50)
+    data = []
+    for k in range(60):
+        at = r.randrange(200)
+        data.append((r.choice([None, None, 3, 4, k]), " ".join(words(r.randrange(200), k) + shared[at : at + r.randrange(100)])))
+    docs = spark.createDataFrame([(i, t, *[None] * 8) for i, t in data], SCHEMA)
+    assert removed(docs) == brute_substrings(data)
+    assert removed(docs.unionByName(docs)) == brute_substrings(data + data)
+
+
 def test_cover():
     d = substring_dedup.COVER
     assert sorted((a - b) % 31 for a in d for b in d if a != b) == list(range(1, 31))
@@ -388,7 +518,7 @@ def test_lm_scores(spark, odd, empty):
     split = {i: (t or "").split() for i, t in enumerate(texts)}
     one, two = Counter(w for x in split.values() for w in x), Counter(p for x in split.values() for p in zip(x, x[1:]))
     total = sum(one.values())
-    got = {r["doc_id"]: r for r in rows(lm_score.score(make(spark, texts), 200, 8))}
+    got = {r["doc_id"]: r for r in rows(lm_score.score(make(spark, texts), 200, 8, order=2))}
     for i, w in split.items():
         o1, o2, s = Counter(w), Counter(zip(w, w[1:])), 0.0
         for k, x in enumerate(w):
@@ -421,6 +551,37 @@ def test_lm_query_scores_trigrams(spark, tmp_path):
         assert abs(got[i] - s) < 1e-6 * max(1, abs(s))
 
 
+def brute_scores(texts, order):
+    split = [(t or "").split() for t in texts]
+    grams = [[Counter(zip(*(w[j:] for j in range(n + 1)))) for n in range(order)] for w in split]
+    every, total = [sum((g[n] for g in grams), Counter()) for n in range(order)], sum(map(len, split))
+    out = []
+    for w, own in zip(split, grams, strict=True):
+        s = 0.0
+        for k in range(len(w)):
+            u = max(every[0][(w[k],)] - own[0][(w[k],)], 0.5) / max(total - len(w), 1)
+            for n in range(1, min(k, order - 1) + 1):
+                g = tuple(w[k - n : k + 1])
+                c = every[n][g] - own[n][g]
+                u = c / (every[n - 1][g[:-1]] - own[n - 1][g[:-1]]) if c > 0 else 0.4 * u
+            s += math.log(u)
+        out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_of_repeated_blocks(spark, order):
+    """A table united with itself: equal blocks must not be taken for one."""
+    texts = [" ".join(random.Random(k).choices(["a", "b", "c", "dd", "e", f"own{k}"], k=k * 5)) for k in range(40)]
+    one = make(spark, texts).coalesce(1)
+    got = rows(lm_score.score(one.unionByName(one), 1 << 20, 64, order))
+    want = brute_scores(texts + texts, order)
+    assert len(got) == 80 and all(abs(r["log_score"] - want[r["doc_id"]]) < 1e-6 * max(1, abs(want[r["doc_id"]])) for r in got)
+    mixed = make(spark, texts).repartition(5)
+    want = brute_scores(texts, order)
+    assert all(abs(r["log_score"] - want[r["doc_id"]]) < 1e-6 * max(1, abs(want[r["doc_id"]])) for r in rows(lm_score.score(mixed, 150, 16, order)))
+
+
 def test_packed_numbers():
     x = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
     assert (lm_score.unpack_sorted(lm_score.pack_sorted(x)) == x).all()
@@ -528,10 +689,10 @@ def test_shrinking_is_the_formula(spark):
 # --- pipeline
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     docs, kept = table(spark, SF, "documents"), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        path = f"{LOCAL_CHECKPOINTS}/test-{name}-{random.randrange(10**9)}"
+        path = f"{tmp_path}/{name}"
         after = stage(spark, docs, SF)
         assert after.columns == docs.columns
         after.write.parquet(path)
