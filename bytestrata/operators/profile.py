@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,23 +12,9 @@ from pyspark.sql import functions as F
 LOG_BITS, LOG_ENTRIES = 12, 1 << 14
 
 
-def fixed_log2(v: int, shift: int = 31) -> int:
-    """log2(v) * 2**shift in integers: the whole part from the bit length, a squaring for each bit after it."""
-    if v <= 1:
-        return 0
-    whole = v.bit_length() - 1
-    m, out = (v << shift) >> whole, whole << shift
-    for k in range(shift - 1, -1, -1):
-        m = (m * m) >> shift
-        if m >= 2 << shift:
-            out += 1 << k
-            m >>= 1
-    return out
-
-
 def log_table() -> np.ndarray:
-    """Entry v is log2(v) in units of 1/4096 bit."""
-    return np.array([(fixed_log2(v) + (1 << 18)) >> 19 for v in range(LOG_ENTRIES + 1)], np.int64)
+    """Entry v is log2(v) in units of 1/4096 bit, to the nearest; entry 0 is 0."""
+    return np.round(np.log2(np.maximum(np.arange(LOG_ENTRIES + 1), 1)) * (1 << LOG_BITS)).astype(np.int64)
 
 
 def entropy_cost(counts: np.ndarray, table: np.ndarray) -> int:
@@ -76,13 +64,19 @@ def byte_histogram(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def ngram_rarity(docs: DataFrame, n: int = 4) -> DataFrame:
-    """(grams, once, most): distinct n-grams of characters in all texts, how many occur once, and the count of the most frequent."""
-    chars = docs.filter(F.length("text") >= n).select(F.split("text", "").alias("chars"))
-    c = F.col("chars")
-    every = F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.concat(*(F.element_at(c, (i + k).cast("int")) for k in range(n))))
-    grams = chars.select(F.explode(every).alias("gram"))
-    counts = grams.groupBy("gram").count()
-    return counts.agg(F.count(F.lit(1)).alias("grams"), F.count_if(F.col("count") == 1).alias("once"), F.max("count").alias("most"))
+    """(grams, once, most): distinct n-grams of characters in all texts, how many occur once, and the count of the most frequent. A batch
+    sends each of its n-grams once, with its count."""
+
+    def run(batches):
+        for b in batches:
+            held = Counter()
+            for t in b.column("text").to_pylist():
+                held.update(map("".join, zip(*(t[k:] for k in range(n)), strict=False)))
+            yield pa.RecordBatch.from_arrays([pa.array([*held], pa.string()), pa.array([*held.values()], pa.int64())], ["gram", "n"])
+
+    grams = docs.filter(F.length("text") >= n).select("text").mapInArrow(run, "gram string, n long")
+    counts = grams.groupBy("gram").agg(F.sum("n").alias("n"))
+    return counts.agg(F.count(F.lit(1)).alias("grams"), F.count_if(F.col("n") == 1).alias("once"), F.max("n").alias("most"))
 
 
 def noise_score(data: bytes) -> int:
@@ -95,8 +89,7 @@ def noise_score(data: bytes) -> int:
     step = len(b) >> 3
     windows = np.concatenate([b[k * step : k * step + 512] for k in range(8)])
     before = np.concatenate([[0], windows[:-1]])
-    second = np.concatenate([[0, 0], windows[:-2]])
-    hashes = ((second << 16) ^ (before << 8) ^ windows) & 0x7FFF
+    hashes = ((before << 8) ^ windows) & 0x7FFF
     return len(np.unique(hashes)) * 256 >> 12
 
 

@@ -59,3 +59,13 @@ def merge_streams(pieces: DataFrame) -> DataFrame:
     """(name, size, checksum, streams): sizes add up over streams, and a file in several has no checksum of its own."""
     merged = pieces.groupBy("name").agg(F.sum("size").alias("size"), F.max("checksum").alias("checksum"), F.countDistinct("stream").alias("streams"))
     return merged.withColumn("checksum", F.when(F.col("streams") == 1, F.col("checksum")))
+
+
+def within(rows: DataFrame, id_column: str, key: str, at: str, width: int) -> DataFrame:
+    """(id, other) for each earlier row of the same key at most `width` back. Rows meet by key and bin of that width, their own and the
+    one before, so a key with many rows is spread over its bins."""
+    bin_ = F.floor(F.col(at) / width)
+    left = rows.select(F.col(id_column), F.col(key).alias("_key"), F.col(at).alias("_at"), F.explode(F.array(bin_, bin_ - 1)).alias("_bin"))
+    right = rows.select(F.col(id_column).alias("other"), F.col(key).alias("_key"), F.col(at).alias("_before"), bin_.alias("_bin"))
+    met = left.join(right, ["_key", "_bin"])
+    return met.filter((F.col("_before") < F.col("_at")) & (F.col("_before") >= F.col("_at") - width)).select(id_column, "other")

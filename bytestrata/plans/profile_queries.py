@@ -128,7 +128,33 @@ s AS (SELECT doc_id, sum(sign * n * (cost + k * 4096))::BIGINT AS cost FROM halv
 SELECT doc_id, coalesce(cost, 0) AS cost FROM documents LEFT JOIN s USING (doc_id)"""
 
 
+_LIST = "SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents"
+
+
+def crc_sql(polynomial: int, initial: int, final: int, kind: str) -> str:
+    """CRC of b, a list of bytes, by a table made from the polynomial's rule."""
+    rows = []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ (polynomial if k & 1 else 0)
+        rows.append(k)
+    entries = ", ".join(map(str, rows))
+    return f"xor(list_reduce(list_transform(b, lambda x: x::{kind}), lambda acc, x: xor(acc >> 8, ([{entries}]::{kind}[])[((xor(acc, x) & 255) + 1)::BIGINT]), {initial}::{kind}), {final}::{kind})"
+
+
+_ALL = (1 << 64) - 1
+
 SQL = {
+    "checksum_crc32": f"SELECT doc_id, {crc_sql(0xEDB88320, 0xFFFFFFFF, 0xFFFFFFFF, 'BIGINT')} AS crc32 FROM ({_LIST})",
+    "checksum_crc16": f"SELECT doc_id, {crc_sql(checksums.CRC16_POLYNOMIAL, 0, 0, 'BIGINT')}::INT AS crc16 FROM ({_LIST})",
+    "checksum_crc64": f"""
+WITH c AS (SELECT doc_id, {crc_sql(checksums.CRC64_POLYNOMIAL, _ALL, _ALL, 'UBIGINT')}::HUGEINT AS c FROM ({_LIST}))
+SELECT doc_id, (CASE WHEN c >= 9223372036854775808 THEN c - 18446744073709551616 ELSE c END)::BIGINT AS crc64 FROM c""",
+    "noise_score": f"""
+WITH d AS (SELECT doc_id, b, len(b) AS n FROM ({_LIST})),
+w AS (SELECT doc_id, n, flatten(list_transform(range(8), lambda k: b[k * (n >> 3) + 1 : k * (n >> 3) + 512])) AS x FROM d),
+h AS (SELECT doc_id, n, len(list_distinct(list_transform(x, lambda c, i: xor(CASE WHEN i > 1 THEN x[i - 1] ELSE 0 END << 8, c) & 32767))) AS h FROM w)
+SELECT doc_id, CASE WHEN n < 8 THEN n WHEN n < 4096 THEN 0 ELSE h * 256 >> 12 END AS score FROM h""",
     "checksum_fletcher": f"""
 WITH b AS ({_BYTES}), n AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents),
 s AS (SELECT doc_id, (sum(b) % 255)::BIGINT AS sum1, (sum((n - i + 1) * b) % 255)::BIGINT AS sum2 FROM b JOIN n USING (doc_id) GROUP BY doc_id)

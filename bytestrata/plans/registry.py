@@ -1,6 +1,6 @@
 """All queries of the byte-archive operators and their SQL."""
 
-from bytestrata.plans import catalog_queries, codec_queries, media_queries, profile_queries, window_queries
+from bytestrata.plans import analysis_queries, catalog_queries, codec_queries, media_queries, profile_queries, window_queries
 from bytestrata.session import ship
 
 
@@ -12,6 +12,6 @@ def _shipped(query):
     return run
 
 
-PARTS = (catalog_queries, profile_queries, window_queries, codec_queries, media_queries)
+PARTS = (catalog_queries, profile_queries, window_queries, codec_queries, media_queries, analysis_queries)
 QUERIES = {k: _shipped(v) for part in PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in PARTS for k, v in part.SQL.items()}

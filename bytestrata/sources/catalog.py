@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ class ScanOptions:
     exclude: list[str] = field(default_factory=list)
     strip_paths: bool = False
     no_time: bool = False
+    no_checksum: bool = False
 
 
 def scan_files(spark: SparkSession, root: str, options: ScanOptions | None = None) -> DataFrame:
@@ -41,7 +43,7 @@ def scan_files(spark: SparkSession, root: str, options: ScanOptions | None = Non
         files = files.filter(~fmt.matches(F.col("path"), o.exclude))
     path = fmt.base_name(F.col("path")) if o.strip_paths else fmt.stored_name(F.col("path"))
     mtime = F.lit(None).cast("timestamp") if o.no_time else F.col("modificationTime")
-    return files.select(path.alias("path"), F.col("length").alias("size"), mtime.alias("mtime"), F.crc32("content").alias("checksum"), F.col("content").alias("payload"))
+    return files.select(path.alias("path"), F.col("length").alias("size"), mtime.alias("mtime"), (F.lit(None).cast("long") if o.no_checksum else F.crc32("content")).alias("checksum"), F.col("content").alias("payload"))
 
 
 def document_entries(docs: DataFrame) -> DataFrame:
@@ -63,6 +65,22 @@ def listing(entries: DataFrame, include: list[str] | None = None, exclude: list[
     return rows.orderBy(*orders) if orders else rows
 
 
+#: Columns that a catalog may have besides path and size, and that a listing shows if they are there and not hidden.
+METADATA = ("mtime", "mode", "uid", "gid", "checksum")
+
+
+def listing_columns(entries: DataFrame, hidden: Sequence[str] = (), strip_paths: bool = False) -> DataFrame:
+    """path, size and what the entries have of METADATA, as text where it has a form of its own, in the path's order."""
+    shown = {
+        "mtime": F.date_format("mtime", "yyyy-MM-dd HH:mm:ss") if "mtime" in entries.columns else None,
+        "mode": fmt.octal_mode(F.col("mode")) if "mode" in entries.columns else None,
+        "checksum": F.lower(F.lpad(F.hex("checksum"), 8, "0")) if "checksum" in entries.columns else None,
+    }
+    path = fmt.base_name(F.col("path")) if strip_paths else F.col("path")
+    columns = [shown.get(c, F.col(c)).alias(c) for c in METADATA if c in entries.columns and c not in hidden]
+    return entries.select(path.alias("path"), "size", *columns).orderBy("path")
+
+
 def merge_duplicates(entries: DataFrame) -> DataFrame:
     """The same path more than once is one entry with the sizes' sum."""
     return entries.groupBy("path").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("inputs"))

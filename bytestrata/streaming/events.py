@@ -3,6 +3,7 @@ shared folder, written batch by batch, so nothing gathers on the driver."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
 
 def scratch(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+    """A new folder in spark.checkpoint.dir. Only a session in one process may do without that setting, and gets a folder of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="streams-")
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
@@ -43,9 +47,11 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/table")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """(user_id, start, end, n): stretches of a user's events with no gap as long as `gap`."""
-    return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
+    """(user_id, start, end, n): stretches of a user's events with no gap as long as `gap`, of events no later than `late` behind the newest.
+    In append mode a session is written once, when the watermark has passed its end, and its state goes; complete mode keeps all."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -54,6 +60,29 @@ def tumbling(events: DataFrame, size: str = "1 hour", late: str = "1 day") -> Da
     return timed.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+def sliding(events: DataFrame, size: str = "1 hour", step: str = "15 minutes", late: str = "1 day") -> DataFrame:
+    """(start, event_type, n) for windows that overlap, a new one every `step`."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", size, step).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def self_checked(stream: DataFrame, key: str, payload: str) -> DataFrame:
+    """Runs the stream over what is there now; each batch is written, read back and compared by checksum beside the writing: (key, status)."""
+    spark = stream.sparkSession
+    path = scratch(spark, "selfcheck")
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = f"{path}/table/batch={number}"
+        batch.select(key, payload, F.crc32(payload).alias("expected")).write.mode("overwrite").parquet(own)  # a batch that runs again replaces itself
+        back = spark.read.parquet(own)
+        status = F.when(F.crc32(payload).eqNullSafe(F.col("expected")), "ok").otherwise("damaged")
+        back.select(key, status.alias("status")).write.mode("overwrite").parquet(f"{path}/checked/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/checked").select(key, "status")
+
+
 def _blocks(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     turns, size = state.get if state.exists else (0, 0)
     for p in parts:

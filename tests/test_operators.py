@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import numpy as np
@@ -5,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytestrata.functions import checksums, formatting
-from bytestrata.operators import byte_transforms, codecs, profile, segment, verify
+from bytestrata.operators import analysis, byte_transforms, codecs, profile, segment, verify
 from bytestrata.sources import sinks
-from bytestrata.sources.catalog import ScanOptions, scan_files
+from bytestrata.sources.catalog import ScanOptions, listing, listing_columns, scan_files
+from bytestrata.streaming import events
 
 ALL = (1 << 64) - 1
 
@@ -152,3 +154,62 @@ def test_partitioning_does_not_matter(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = [sorted(map(tuple, profile.order1_entropy(docs.repartition(n)).collect())) for n in (1, 4, 16)]
     assert found[0] == found[1] == found[2]
+
+
+def test_extraction_writes_within_its_target(spark, tmp_path):
+    target = tmp_path / "out"
+    (target / "a").mkdir(parents=True)
+    (target / "a" / "there.txt").write_bytes(b"old")
+    rows = [("a/new.txt", b"new", 1), ("a/there.txt", b"fresh", 1), ("../x.txt", b"no", 1), ("a/bad.txt", b"bad", 0), ("empty.txt", None, None)]
+    entries = spark.createDataFrame(rows, "path string, payload binary, ok int")
+    entries = entries.withColumn("checksum", F.when(F.col("ok") == 1, F.crc32("payload")).when(F.col("ok") == 0, F.lit(7))).drop("ok")
+    status = {r.path: r.status for r in sinks.extract_files(entries, str(target), "ask", safe=True).collect()}
+    assert status == {"a/new.txt": "written", "a/there.txt": "skipped", "../x.txt": "refused", "a/bad.txt": "damaged", "empty.txt": "written"}
+    assert (target / "a" / "there.txt").read_bytes() == b"old" and (target / "empty.txt").read_bytes() == b"" and not (tmp_path / "x.txt").exists()
+    again = {r.path: r.status for r in sinks.extract_files(entries, str(target), "yes").collect()}
+    assert again["a/there.txt"] == "replaced" and again["a/bad.txt"] == "written" and (target / "a" / "there.txt").read_bytes() == b"fresh"
+    with pytest.raises(ValueError):
+        sinks.extract_files(entries, str(target), "perhaps")
+
+
+def test_blocks_table(spark, tmp_path):
+    docs = spark.createDataFrame([(1, b"a" * 1000), (2, b"abc"), (3, b"")], "doc_id long, payload binary")
+    blocks = sinks.write_blocks(docs, codecs.CODECS["rle"], str(tmp_path / "blocks"))
+    assert {r.doc_id: (r.raw_length, r.stored) for r in blocks.collect()} == {1: (1000, False), 2: (3, True), 3: (0, True)}
+    assert {r.doc_id: bytes(r.payload) for r in codecs.decoded(blocks, codecs.CODECS["rle"]).collect()} == {1: b"a" * 1000, 2: b"abc", 3: b""}
+
+
+def test_listing_order(spark):
+    rows = [("b/z.txt", 5), ("a/y.md", 9), ("a/x.txt", 5), ("c", 1)]
+    entries = spark.createDataFrame(rows, "path string, size long")
+    assert [r.path for r in listing(entries, sort="name").collect()] == ["a/x.txt", "a/y.md", "b/z.txt", "c"]
+    assert [r.path for r in listing(entries, sort="size").collect()] == ["c", "a/x.txt", "b/z.txt", "a/y.md"]
+    assert [r.path for r in listing(entries, sort="extension").collect()] == ["c", "a/y.md", "a/x.txt", "b/z.txt"]
+    assert [r.path for r in listing_columns(entries).collect()] == ["a/x.txt", "a/y.md", "b/z.txt", "c"]
+
+
+def test_block_rle_score_step_by_step():
+    random.seed(5)
+    for _ in range(300):
+        data = b"".join(random.choice([b"aaaa", b"abab", b"abca", b"zzzz", b"0"]) * random.randrange(1, 200 if random.random() < 0.05 else 4) for _ in range(random.randrange(12)))
+        score, before, bonus = 0, None, 0
+        for k in range(0, len(data) - 3, 4):
+            word = data[k : k + 4]
+            own = sum(word[j] == word[j + 1] for j in range(3))
+            bonus = (own + bonus + 1) % 128 if word == before else own
+            score, before = score + bonus, word
+        assert analysis.block_rle_score(data) == score
+
+
+def test_sessions_are_written_once_when_over(spark, tmp_path):
+    def batch(name, rows):
+        spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    at = datetime.datetime(2024, 1, 1)
+    batch("one", [(1, at), (1, at + datetime.timedelta(minutes=10)), (2, at)])
+    batch("two", [(1, at + datetime.timedelta(days=3))])
+    source = spark.readStream.schema("user_id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = events.run_to_table(events.sessions(source), "append")
+    found = {(r.user_id, r.n) for r in out.collect()}
+    assert (1, 2) in found and (2, 1) in found
+    assert not any(r.start == at + datetime.timedelta(days=3) for r in out.collect())  # still open
