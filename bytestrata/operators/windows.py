@@ -39,12 +39,13 @@ def equal_runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -
 
 def common_prefix(a: Column, b: Column, most: int) -> Column:
     """Characters that a and b begin with in common, at most `most`; 0 for nulls. The length is found bit by bit, the highest first."""
-    n = F.lit(0)
-    for bit in reversed([1 << k for k in range(most.bit_length())]):
+
+    def step(n: Column, bit: Column) -> Column:
         longer = n + bit
-        fits = (longer <= most) & (F.length(a) >= longer) & (F.length(b) >= longer) & (F.left(a, longer) == F.left(b, longer))
-        n = F.when(fits, longer).otherwise(n)
-    return F.coalesce(F.when(a.isNotNull() & b.isNotNull(), n), F.lit(0))
+        return F.when((longer <= most) & (F.length(a) >= longer) & (F.length(b) >= longer) & (F.left(a, longer) == F.left(b, longer)), longer).otherwise(n)
+
+    bits = F.array(*(F.lit(1 << k) for k in reversed(range(most.bit_length()))))
+    return F.coalesce(F.when(a.isNotNull() & b.isNotNull(), F.aggregate(bits, F.lit(0), step)), F.lit(0))
 
 
 def line_prefixes(docs: DataFrame, most: int = 31) -> DataFrame:
