@@ -443,6 +443,34 @@ def test_near_rows(odd, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def recall(spark, data):
+    """Share of the similar pairs with a query (an id divisible by 50) that are in one class; pairs by brute force over all rows."""
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    classes = {r["doc_id"]: r["class_id"] for r in rows(near_dup.near_duplicates(docs))}
+    kmers = {i: near_dup.labelled(near_dup.normal_words(t)) for i, t in data}
+    pairs = [(i, j) for i in kmers if i % 50 == 0 for j in kmers if i != j and near_dup.similarity(kmers[i], kmers[j])]
+    return sum(classes[i] == classes[j] for i, j in pairs), len(pairs)
+
+
+def test_near_recall_of_documents(spark):
+    found, pairs = recall(spark, [tuple(r) for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()])
+    assert found >= 0.9 * pairs and pairs
+
+
+def test_near_recall_of_a_large_family(spark, monkeypatch):
+    """Copies of one text that differ by about the threshold, in buckets far over the size of a part."""
+    settle = near_dup._settle
+    monkeypatch.setattr(near_dup, "_settle", lambda *a: settle(*a, group=128))
+    r, base, data = random.Random(7), words(400, 11), []
+    for k in range(1000):
+        w = base[:]
+        for _ in range(r.randrange(4, 17)):
+            w[r.randrange(400)] = f"n{r.randrange(10**6)}"
+        data.append((k, " ".join(w)))
+    found, pairs = recall(spark, data)
+    assert found >= 0.99 * pairs and pairs > 50
+
+
 def test_order_counts():
     a, b = words(60, 1), words(60, 2)
     one, two = (near_dup.labelled([w.encode() for w in x]) for x in (a + b, b + a))
@@ -617,6 +645,62 @@ def test_gradients():
         assert abs((up - down) / 2 / e - g[at]) < 1e-2 * abs(g[at]) + 1e-6, k
 
 
+def plain_score(net, text):
+    """Window by window and step by step, from the definitions."""
+    p, h_size = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def embedded(word):
+        bucket, grams, _, _ = toxicity.word_features([word])
+        chars = p["gram"][grams].sum(0) / max(len(grams), 1)
+        return np.concatenate([p["word"][bucket[0]], chars])
+
+    split, best = text.split(), -np.inf
+    start = 0
+    while True:
+        own = split[start : start + toxicity.WINDOW]
+        real = len(own)
+        x = [embedded(w) for w in own] + [embedded("")] * (toxicity.WINDOW - real)
+        states = []
+        for direction in (0, 1):
+            h, out = np.zeros(h_size), []
+            for v in x if direction == 0 else x[::-1]:
+                gates, back = v @ p["wx"][direction] + p["bx"][direction][0], h @ p["u"][direction]
+                r, z = sigmoid(gates[:h_size] + back[:h_size]), sigmoid(gates[h_size : 2 * h_size] + back[h_size : 2 * h_size])
+                n = np.tanh(gates[2 * h_size :] + r * (back[2 * h_size :] + p["bn"][direction][0]))
+                h = (1 - z) * n + z * h
+                out.append(h)
+            states.append(out if direction == 0 else out[::-1])
+        both = [np.concatenate(t) for t in zip(*states)]
+        weight = np.array([np.exp(np.tanh(b @ p["wa"] + p["ba"]) @ p["va"]) if k < real else 0.0 for k, b in enumerate(both)])
+        pooled = sum(w * b for w, b in zip(weight, both)) / max(weight.sum(), 1e-9)
+        best = max(best, float(pooled @ p["wo"] + p["bo"][0]))
+        start += toxicity.STRIDE
+        if start >= len(split) - toxicity.WINDOW + toxicity.STRIDE:
+            return float(sigmoid(best + net.shift))
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_scores_are_those_of_the_definition(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "NEW_WORDS", 5)
+    net, r = toxicity.Network(3), random.Random(2)
+    for k in ("word", "gram", "va", "wa"):
+        net.p[k] = (net.p[k] * 8).astype(np.float32)
+    net.shift = 0.3
+    texts = ["", "one", " ".join(words(24, 1)), " ".join(words(25, 2)), " ".join(words(41, 3)), *(" ".join(words(r.randrange(200), k)) for k in range(8)), " ".join(words(1500, 4))]
+    got = toxicity.Scorer(net)(texts)
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=2e-4)
+
+
+def test_calibration():
+    shift = toxicity.calibration(np.array([-3.0, -2.0, 1.0, 2.0, 5.0]), np.array([0, 0, 0, 1, 1]))
+    assert shift == -3.5 or shift == -1.5
+    assert toxicity.calibration(np.array([-3.0, 4.0, 1.0, 2.0]), np.array([0, 0, 1, 1]), 0.1) == 1.0
+
+
 def test_every_word_is_in_a_window():
     for n in (0, 1, 23, 24, 25, 40, 41, 1000):
         w = toxicity.windows_of(n)
@@ -686,6 +770,52 @@ def test_shrinking_is_the_formula(spark):
         assert abs(out[i]["host_mean"] - (sum(hosts[h]) - e + weight * mean) / (len(hosts[h]) - 1 + weight)) < 1e-9
 
 
+def test_posterior_of_paths_is_the_formula(spark):
+    r = random.Random(3)
+    data = [(k, h := f"h{k % 4}", f"p{k % 3}", round(min(0.95, max(0.05, 0.2 + 0.2 * (k % 4) + 0.1 * (k % 3) + r.random() * 0.2)), 6)) for k in range(120)]
+    out = {x["doc_id"]: x for x in rows(quality.posterior(spark.createDataFrame(data, "doc_id long, host string, path string, evidence double"), 0.4))}
+
+    def weight(groups, means):
+        """Method of moments, for {group: values} around means."""
+        n = sum(map(len, groups.values()))
+        noise = sum(((np.array(v) - np.mean(v)) ** 2).sum() for v in groups.values()) / (n - len(groups))
+        between = sum(len(v) * (np.mean(v) - means[g]) ** 2 for g, v in groups.items())
+        spread = (between - (len(groups) - 1) * noise) / (n - sum(len(v) ** 2 for v in groups.values()) / n)
+        return min(quality.MOST_PRIOR, max(noise / spread, 1.0)) if spread > 0 else quality.MOST_PRIOR
+
+    hosts, paths = {}, {}
+    for _, h, p, e in data:
+        hosts.setdefault(h, []).append(e)
+        paths.setdefault((h, p), []).append(e)
+    mean = sum(e for *_, e in data) / len(data)
+    of_host = weight(hosts, dict.fromkeys(hosts, mean))
+    shrunk = {h: (sum(v) + of_host * mean) / (len(v) + of_host) for h, v in hosts.items()}
+    of_path = weight(paths, {g: shrunk[g[0]] for g in paths})
+    for i, h, p, e in data:
+        host_mean = (sum(hosts[h]) - e + of_host * mean) / (len(hosts[h]) - 1 + of_host)
+        path_mean = (sum(paths[h, p]) - e + of_path * host_mean) / (len(paths[h, p]) - 1 + of_path)
+        logit = math.log(e / (1 - e)) - math.log(0.4 / 0.6) + math.log(path_mean / (1 - path_mean))
+        assert abs(out[i]["host_mean"] - host_mean) < 1e-9 and abs(out[i]["path_mean"] - path_mean) < 1e-9
+        assert abs(out[i]["score"] - 1 / (1 + math.exp(-logit))) < 1e-9
+
+
+def test_evidence_is_the_classifier(spark):
+    docs, labels = labelled(spark, 300)
+    model = quality.fit(docs, labels)
+    (mean, scale, beta), prior = model
+    assert 0 < prior < 1
+    texts = dict(docs.select("doc_id", "text").collect())
+    for r in rows(quality.evidence(docs, model)):
+        t = float(((quality.features(texts[r["doc_id"]]) - mean) / scale) @ beta[:-1] + beta[-1])
+        assert abs(r["evidence"] - min(1 - quality.LEAST, max(quality.LEAST, 1 / (1 + math.exp(-max(-40, min(40, t))))))) < 1e-9
+
+
+def test_sites_of_urls(spark):
+    urls = ["https://www.Example.org:8080/a/b?x=1", "http://user:pw@host.net", "ftp://h/x#y", "no url", None, "https://h.com?q=/a"]
+    out = [(r["host"], r["path"]) for r in rows(quality.with_site(spark.createDataFrame([(u,) for u in urls], "url string")))]
+    assert out == [("example.org", "/a"), ("host.net", "/"), ("h", "/x"), (None, None), (None, None), ("h.com", "/")]
+
+
 # --- pipeline
 
 
