@@ -57,25 +57,30 @@ def crc64_combine(a: int, b: int, length: int) -> int:
     return int(shifted[0]) ^ b
 
 
-def crc64_many(payloads: Iterable[bytes]) -> np.ndarray:
-    """CRC-64/XZ of each payload: all pieces of all payloads advance a byte at a time together and are combined in order."""
-    payloads = list(payloads)
+def _registers(payloads: list[bytes], polynomial: int) -> np.ndarray:
+    """Of a register that starts at zero: all pieces of all payloads advance a byte at a time together and are combined in order."""
     count = np.array([max(1, -(-len(p) // PIECE)) for p in payloads], np.int64)
     first = np.cumsum(count) - count
     # pieces stand flush right, so only a payload's first piece has leading zeros, which a zero register ignores
     body = np.zeros((int(count.sum()), PIECE), np.uint8)
     for p, at, n in zip(payloads, first, count, strict=True):
         body[at : at + n].reshape(-1)[n * PIECE - len(p) :] = np.frombuffer(p, np.uint8)
-    table, register = crc_table(CRC64_POLYNOMIAL), np.zeros(len(body), np.uint64)
+    table, register = crc_table(polynomial), np.zeros(len(body), np.uint64)
     for k in range(PIECE):
         register = table[((register ^ body[:, k]) & np.uint64(255)).astype(np.intp)] ^ (register >> np.uint64(8))
-    out, step = np.zeros(len(payloads), np.uint64), zeros_operator(PIECE)
+    out, step = np.zeros(len(payloads), np.uint64), zeros_operator(PIECE, polynomial)
     for k in range(int(count.max()) if len(count) else 0):
         live = np.flatnonzero(count > k)
         out[live] = apply_operator(step, out[live]) ^ register[first[live] + k]
+    return out
+
+
+def crc64_many(payloads: Iterable[bytes]) -> np.ndarray:
+    """CRC-64/XZ of each payload."""
+    payloads = list(payloads)
     # the start value of all ones is a constant for each length
     ones = np.array([crc64_combine(_ALL, 0, len(p)) for p in payloads], np.uint64)
-    return out ^ ones ^ np.uint64(_ALL)
+    return _registers(payloads, CRC64_POLYNOMIAL) ^ ones ^ np.uint64(_ALL)
 
 
 @F.pandas_udf(T.LongType())
@@ -87,19 +92,8 @@ def crc64(payload: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def crc16(payload: pd.Series) -> pd.Series:
-    """CRC-16/ARC; bytes of all payloads advance together."""
-    table = crc_table(CRC16_POLYNOMIAL)
-    rows = [x or b"" for x in payload]
-    order = np.argsort([-len(x) for x in rows], kind="stable")
-    lengths = np.array([len(rows[k]) for k in order])
-    register = np.zeros(len(rows), np.uint64)
-    views = [np.frombuffer(rows[k], np.uint8) for k in order]
-    for k in range(int(lengths[0]) if len(rows) else 0):
-        live = int(np.searchsorted(-lengths, -k, "left"))
-        column = np.fromiter((v[k] for v in views[:live]), np.uint64, live)
-        register[:live] = table[((register[:live] ^ column) & np.uint64(255)).astype(np.intp)] ^ (register[:live] >> np.uint64(8))
-    out = np.zeros(len(rows), np.int64)
-    out[order] = register.astype(np.int64)
+    """CRC-16/ARC, which starts at zero; null stays null."""
+    out = _registers([x or b"" for x in payload], CRC16_POLYNOMIAL).astype(np.int64)
     return pd.Series(out, dtype="Int64").where(payload.notna().to_numpy())
 
 

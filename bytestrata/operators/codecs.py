@@ -5,6 +5,7 @@ Each codec is a pair (encode, decode) over lists of blocks, so that those which
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 from collections.abc import Callable
@@ -224,42 +225,49 @@ def unrle(data: bytes) -> bytes:
 def lz_tokens(data: bytes, least: int = 4, most: int = 4096) -> tuple[list[tuple[int, int, int]], bytes]:
     """(literal run, selector, raw length) rows and the literals. Selectors 0 to 3 repeat one of the last four offsets, others hold the
     offset plus 3; raw lengths leave out the shortest match that the offset allows."""
-    seen: dict[bytes, int] = {}
-    recent, tokens, literals, at, run, n = [1, 1, 1, 1], [], bytearray(), 0, 0, len(data)
-    while at < n:
-        key = data[at : at + 4]
-        found = seen.get(key, -1) if len(key) == 4 else -1
-        seen[key] = at
-        size = 0
-        if found >= 0:
-            size, step = 4, 32
-            bound = min(n - at, most)
-            while size < bound and step:
-                if data[found + size : found + size + step] == data[at + size : at + size + step] and size + step <= bound:
-                    size += step
-                else:
-                    step //= 2
-            offset = at - found
-            minimum = 2 if offset in recent else 4 + (offset > 0x4FF) + (offset > 0x63FF)
-            if size < max(minimum, least):
-                size = 0
-        if not size:
-            literals.append(data[at])
-            run += 1
-            at += 1
+    n = len(data)
+    earlier = previous_places(data)
+    places = np.flatnonzero(earlier >= 0)  # where a match can begin
+    earlier, candidates, k = earlier.tolist(), places.tolist(), 0
+    recent, tokens, literals, done = [1, 1, 1, 1], [], bytearray(), 0
+    while k < len(candidates):
+        at = candidates[k]
+        found = earlier[at]
+        size, step, bound = 4, 32, min(n - at, most)
+        while size < bound and step:
+            if size + step <= bound and data[found + size : found + size + step] == data[at + size : at + size + step]:
+                size += step
+            else:
+                step //= 2
+        offset = at - found
+        minimum = 2 if offset in recent else 4 + (offset > 0x4FF) + (offset > 0x63FF)
+        if size < max(minimum, least):
+            k += 1
             continue
+        literals += data[done:at]
         if offset in recent:
-            k = recent.index(offset)
-            tokens.append((run, k, size - 2))
-            del recent[k]
+            i = recent.index(offset)
+            tokens.append((at - done, i, size - 2))
+            del recent[i]
         else:
-            tokens.append((run, offset + 3, size - minimum))
+            tokens.append((at - done, offset + 3, size - minimum))
             recent.pop()
         recent.insert(0, offset)
-        for k in range(at + 1, min(at + size, n - 3), 4):
-            seen[data[k : k + 4]] = k
-        at, run = at + size, 0
-    return tokens, bytes(literals)
+        done = at + size
+        k = bisect.bisect_left(candidates, done, k)
+    return tokens, bytes(literals + data[done:])
+
+
+def previous_places(data: bytes) -> np.ndarray:
+    """For each place, the nearest earlier one where the same four bytes begin, or -1."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint32)
+    out = np.full(len(b), -1, np.int64)
+    if len(b) >= 5:
+        keys = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
+        order = np.argsort(keys, kind="stable")
+        same = keys[order[1:]] == keys[order[:-1]]
+        out[order[1:][same]] = order[:-1][same]
+    return out
 
 
 def from_tokens(tokens: list[tuple[int, int, int]], literals: bytes, n: int) -> bytes:
