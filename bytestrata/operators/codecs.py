@@ -27,6 +27,25 @@ def put_varint(x: int) -> bytes:
     return bytes(out)
 
 
+def put_varints(x: np.ndarray) -> bytes:
+    """put_varint of each number, one after the other."""
+    width = np.maximum(1, -(-np.frexp(x.astype(float))[1] // 7)).astype(np.int64)
+    first = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), np.uint8)
+    for k in range(int(width.max()) if len(x) else 0):
+        own = np.flatnonzero(width > k)
+        out[first[own] + k] = (x[own] >> 7 * k & 127) | np.where(width[own] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def get_varints(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    last = np.flatnonzero(b < 128)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    place = np.arange(len(b)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((b & 127) << 7 * place, first) if len(last) else np.zeros(0, np.int64)
+
+
 def get_varint(data: bytes, at: int) -> tuple[int, int]:
     """Value, and where it ends."""
     x = shift = 0
@@ -228,17 +247,20 @@ def lz_tokens(data: bytes, least: int = 4, most: int = 4096) -> tuple[list[tuple
     n = len(data)
     earlier = previous_places(data)
     places = np.flatnonzero(earlier >= 0)  # where a match can begin
+    sizes = common_lengths(data, earlier[places], places).tolist()
     earlier, candidates, k = earlier.tolist(), places.tolist(), 0
     recent, tokens, literals, done = [1, 1, 1, 1], [], bytearray(), 0
     while k < len(candidates):
         at = candidates[k]
         found = earlier[at]
-        size, step, bound = 4, 32, min(n - at, most)
-        while size < bound and step:
-            if size + step <= bound and data[found + size : found + size + step] == data[at + size : at + size + step]:
-                size += step
-            else:
-                step //= 2
+        size = sizes[k]
+        if size == STEPS:  # it may go on
+            step, bound = 256, min(n - at, most)
+            while size < bound and step:
+                if size + step <= bound and data[found + size : found + size + step] == data[at + size : at + size + step]:
+                    size += step
+                else:
+                    step //= 2
         offset = at - found
         minimum = 2 if offset in recent else 4 + (offset > 0x4FF) + (offset > 0x63FF)
         if size < max(minimum, least):
@@ -258,6 +280,23 @@ def lz_tokens(data: bytes, least: int = 4, most: int = 4096) -> tuple[list[tuple
     return tokens, bytes(literals + data[done:])
 
 
+#: Bytes of a match that are compared for all places at once.
+STEPS = 64
+
+
+def common_lengths(data: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes are equal from places a and from places b > a on, at most STEPS; the first four are."""
+    x = np.frombuffer(data, np.uint8)
+    out, live = np.full(len(a), 4, np.int64), np.arange(len(a))
+    for k in range(4, STEPS):
+        live = live[b[live] + k < len(x)]
+        live = live[x[a[live] + k] == x[b[live] + k]]
+        if not len(live):
+            break
+        out[live] = k + 1
+    return out
+
+
 def previous_places(data: bytes) -> np.ndarray:
     """For each place, the nearest earlier one where the same four bytes begin, or -1."""
     b = np.frombuffer(data, np.uint8).astype(np.uint32)
@@ -298,7 +337,7 @@ def from_tokens(tokens: list[tuple[int, int, int]], literals: bytes, n: int) ->
 
 def lz_encode_block(data: bytes) -> bytes:
     tokens, literals = lz_tokens(data)
-    fields = b"".join(put_varint(x) for t in tokens for x in t)
+    fields = put_varints(np.array(tokens, np.int64).ravel())
     parts = [huffman_encode_block(x) for x in (fields, literals)]
     return put_varint(len(data)) + put_varint(len(tokens)) + b"".join(put_varint(len(x)) + x for x in parts)
 
@@ -311,13 +350,7 @@ def lz_decode_block(data: bytes) -> bytes:
         size, at = get_varint(data, at)
         parts.append(huffman_decode_block(data[at : at + size]))
         at += size
-    fields, k, tokens = parts[0], 0, []
-    for _ in range(count):
-        a, k = get_varint(fields, k)
-        b, k = get_varint(fields, k)
-        c, k = get_varint(fields, k)
-        tokens.append((a, b, c))
-    return from_tokens(tokens, parts[1], n)
+    return from_tokens([*map(tuple, get_varints(parts[0]).reshape(count, 3).tolist())], parts[1], n)
 
 
 def bwt_encode_block(data: bytes) -> bytes:
