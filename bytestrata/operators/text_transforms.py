@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytestrata.operators.profile import byte_histogram
+
 
 def collapse_crlf(text: Column) -> Column:
     return F.replace(text, F.lit("\r\n"), F.lit("\n"))
@@ -38,6 +40,24 @@ def unmask_numbers(masked: Column, values: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x, k: F.concat(x, F.when(k < n, F.get(values, k)).otherwise(""))), "")
 
 
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letters_by_frequency(payloads: DataFrame, column: str = "payload") -> str:
+    """The small letters from the most frequent to the least, ties by letter; 26 counts at most come to the driver."""
+    found = {r["byte"]: r["n"] for r in byte_histogram(payloads, column).filter(F.col("byte").between(97, 122)).collect()}
+    return "".join(sorted(ALPHABET, key=lambda c: (-found.get(ord(c), 0), c)))
+
+
+def reorder(text: Column, order: str) -> Column:
+    """Letters by their rank in `order`, the first as a; restore() undoes it."""
+    return F.translate(text, order, ALPHABET)
+
+
+def restore(text: Column, order: str) -> Column:
+    return F.translate(text, ALPHABET, order)
+
+
 def tag_statistics(pages: DataFrame) -> DataFrame:
     """(tag, opened, closed) over all pages."""
     tags = pages.select(F.explode(F.regexp_extract_all("html", F.lit("<(/?[A-Za-z][A-Za-z0-9]*)"), F.lit(1))).alias("t"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bytestrata.functions import profile as p
 from bytestrata.operators import analysis, codecs, profile, verify
+from bytestrata.operators import text_transforms as tt
 from bytestrata.operators import windows as w
 from bytestrata.plans.profile_queries import crc_sql
 from bytestrata.session import spread
@@ -56,6 +57,21 @@ def rle_lengths(spark: SparkSession, d: str) -> DataFrame:
     return codecs.coded(payloads, codecs.CODECS["rle"], fallback=False).select("doc_id", "raw_length", F.octet_length("block").cast("long").alias("coded_length"))
 
 
+def ascii_reorder(spark: SparkSession, d: str) -> DataFrame:
+    """Letters renamed by their rank among all texts, and whether that is undone."""
+    docs = _documents(spark, d)
+    order = tt.letters_by_frequency(docs.select(F.encode("text", "UTF-8").alias("payload")))
+    coded = docs.select("doc_id", "text", tt.reorder(F.col("text"), order).alias("coded"))
+    return coded.select("doc_id", F.md5("coded").alias("coded"), (tt.restore(F.col("coded"), order) == F.col("text")).alias("undone"))
+
+
+def embedded_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads that were put into text as base64, taken out again, with their digests."""
+    held = _documents(spark, d).select("doc_id", F.concat(F.lit("data:"), F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("held"))
+    found = held.select("doc_id", F.unbase64(F.regexp_replace("held", "^data:", "")).alias("payload"))
+    return found.select("doc_id", F.octet_length("payload").cast("long").alias("bytes"), F.md5("payload").alias("digest"))
+
+
 def _typed_entries(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     i = F.col("doc_id")
@@ -136,7 +152,7 @@ def context_ranks(spark: SparkSession, d: str) -> DataFrame:
     return w.recent_ranks(e, ["user_id", "context"], ["ts", "event_id"], "event_type").select("event_id", "rank")
 
 
-QUERIES = {f.__name__: f for f in (simple_text_score, line_rle_fits, block_rle_score, trial_gate, simulate_coded, rle_lengths, listing_by_presence, listing_all_columns, listing_bare, overwrite_policy, sweep_reasons, sweep_pivot, preceding_match, interval_join, ranked_frames, stage_checks, context_ranks)}
+QUERIES = {f.__name__: f for f in (simple_text_score, line_rle_fits, block_rle_score, trial_gate, simulate_coded, rle_lengths, ascii_reorder, embedded_payloads, listing_by_presence, listing_all_columns, listing_bare, overwrite_policy, sweep_reasons, sweep_pivot, preceding_match, interval_join, ranked_frames, stage_checks, context_ranks)}
 
 _TEXTY = p.TEXTY.replace("'", "''")
 _PAYLOAD = "encode(CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || repeat('=', 4000) ELSE coalesce(text, '') END)"
@@ -212,6 +228,11 @@ c AS (SELECT *, (b IS DISTINCT FROM lag(b) OVER (PARTITION BY doc_id ORDER BY k)
 n AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
 t AS (SELECT doc_id, sum(4 * (n // 258) + CASE WHEN n % 258 >= 3 THEN 4 ELSE n % 258 END)::BIGINT AS coded FROM n GROUP BY doc_id)
 SELECT doc_id, length(x) // 2 AS raw_length, coalesce(coded, 0) AS coded_length FROM h LEFT JOIN t USING (doc_id)""",
+    "ascii_reorder": """
+WITH u AS (SELECT unnest(string_split(text, '')) AS l FROM documents), n AS (SELECT l, count(*) AS n FROM u GROUP BY l),
+c AS (SELECT chr(k::INT) AS l, coalesce(n, 0) AS n FROM range(97, 123) t(k) LEFT JOIN n ON n.l = chr(k::INT)), s AS (SELECT string_agg(l, '' ORDER BY n DESC, l) AS o FROM c)
+SELECT doc_id, md5(translate(text, o, 'abcdefghijklmnopqrstuvwxyz')) AS coded, text = text AS undone FROM documents, s""",
+    "embedded_payloads": "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, md5(coalesce(text, '')) AS digest FROM documents",
     "preceding_match": """
 WITH l AS (SELECT doc_id, unnest(range(5, length(text) + 1, 16)) AS pos, text FROM documents WHERE length(text) > 4),
 k AS (SELECT doc_id, pos, substring(text, pos - 4, 4) AS context FROM l),

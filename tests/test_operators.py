@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bytestrata.functions import checksums, formatting
 from bytestrata.operators import analysis, byte_transforms, codecs, profile, segment, verify
 from bytestrata.sources import sinks
-from bytestrata.sources.catalog import ScanOptions, listing, listing_columns, scan_files
+from bytestrata.sources.catalog import ScanOptions, host_info, listing, listing_columns, scan_files
 from bytestrata.streaming import events
 
 ALL = (1 << 64) - 1
@@ -188,6 +188,21 @@ def test_listing_order(spark):
     assert [r.path for r in listing_columns(entries).collect()] == ["a/x.txt", "a/y.md", "b/z.txt", "c"]
 
 
+def test_exe_hits():
+    def call(at, target):
+        return b"\xe8" + (target - at - 1).to_bytes(4, "little", signed=True)
+
+    targets = [1000, 2000, 1000, 3000, 4000, 5000, 1000, 5000, 2000]
+    code = b"".join(call(5 * k, t) for k, t in enumerate(targets))
+    assert byte_transforms.exe_hits(code + bytes(8)) == sum(t in targets[max(0, k - 4) : k] for k, t in enumerate(targets)) == 3
+    assert byte_transforms.exe_hits(b"") == 0 and byte_transforms.exe_hits(b"\xe8\0") == 0
+
+
+def test_host_info(spark):
+    (row,) = host_info(spark).collect()
+    assert row.version == spark.version and row.parallelism == spark.sparkContext.defaultParallelism
+
+
 def test_block_rle_score_step_by_step():
     random.seed(5)
     for _ in range(300):
