@@ -35,7 +35,7 @@ MEMO, MEMO_LENGTH = 400_000, 64
 #: Stands behind the last symbol of a word in place of the vocabulary's word-end suffix.
 END = "\0"
 #: Characters that str.split() takes for white space and the vocabulary's pattern does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Pieces whose lower case and normal form need no library: characters below U+0180 that are no combination and no special case.
 LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u0148\u014a-\u017e]+")
 #: The vocabulary's pre-tokenizer pattern, for such pieces in lower case.
@@ -114,12 +114,17 @@ class WordEncoder:
         out: list[int] = []
         at, length = 0, self.length
         for end, r in self.automaton.iter_long(s):
-            if end + 1 - length[r] != at or (out and not self.compatible(out[-1], r)):
+            if end + 1 - length[r] != at:
+                self.walk(s, n, out, at, self.longest(s, at))
+                break
+            if out and not self.compatible(out[-1], r):
+                self.walk(s, n, out, at, self.shorter[r])
                 break
             out.append(r)
             at = end + 1
-        if at < n:
-            self.walk(s, n, out, at)
+        else:
+            if at < n:
+                self.walk(s, n, out, at, self.longest(s, at))
         return b"".join(map(self.id_bytes.__getitem__, out))
 
     def longest(self, s: str, at: int) -> int:
@@ -131,12 +136,11 @@ class WordEncoder:
                 return r
         return -1
 
-    def walk(self, s: str, n: int, out: list[int], at: int) -> None:
-        """Go on from the entries in out, which end at a position, with steps back; no position is left twice."""
+    def walk(self, s: str, n: int, out: list[int], at: int, r: int) -> None:
+        """Go on from the entries in out, which end at a position, with the entry r or shorter ones, and steps back; no position is left twice."""
         length, shorter, compatible = self.length, self.shorter, self.compatible
         alive = bytearray(b"\1") * (n + 1)
         alive[n - 1] = 0  # the end mark belongs to the last symbol
-        r = self.longest(s, at)
         while True:
             while r >= 0 and not (alive[at + length[r]] and (not out or compatible(out[-1], r))):
                 r = shorter[r]
@@ -186,14 +190,17 @@ class Codec:
         """A piece of text without white space, or a word of one: a word by itself is a piece of one word."""
         ids = self.old.get(piece)
         if ids is None:
-            if piece.isascii() and piece.isalpha() and piece.islower():
-                ids = self.words.encode(piece)
+            known = self.memo.get
+            if piece.isascii() and piece.isalpha():
+                ids = self.words.encode(piece) if piece.islower() else known(w := piece.lower()) or self.piece(w)
+            elif piece[-1] in ".,;:!?" and (w := piece[:-1]).isascii() and w.isalpha():
+                w, mark = w.lower(), piece[-1]
+                ids = (known(w) or self.piece(w)) + (known(mark) or self.piece(mark))
             elif LATIN.fullmatch(piece):
                 words = LATIN_WORDS.findall(piece.lower())
                 if words == [piece]:
                     ids = self.words.encode(piece.encode().decode("latin-1").translate(self.as_bytes))
                 else:
-                    known = self.memo.get
                     ids = b"".join([known(w) or self.piece(w) for w in words])
             else:
                 ids = self.split(piece)
@@ -204,7 +211,7 @@ class Codec:
         return ids
 
     def plain(self, text: str) -> bytes:
-        if SEPARATORS.search(text):
+        if any(c in text for c in SEPARATORS):
             return self.split(text)
         pieces = text.split()
         found = [*map(self.memo.get, pieces)]
