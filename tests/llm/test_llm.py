@@ -302,6 +302,21 @@ def test_base_spans():
         pii.base_spans(s)
 
 
+def test_pii_query_counts_kinds(spark, tmp_path):
+    """Counts and digest of op6's rows by plain patterns: spans of one kind only, several of one, all kinds, none, null, shared and null ids."""
+    mail, ip, card, phone = "a.b@c-d.org", "10.0.255.1", "4111 1111-1111 1111", "+1 (555) 010-2030"
+    texts = [mail, ip, card, phone, f"{mail} {mail} {mail}", f"{phone}; {phone}; {ip}", f"{phone}, {card}, {ip}, {mail}", "none 1", "", None, f"{ip} {mail}", f"{card} {card}"]
+    ids = [*range(10), 9, None]
+    spark.createDataFrame([(i, t, *[None] * 8) for i, t in zip(ids, texts, strict=True)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = []
+    for i, t in zip(ids, texts, strict=True):
+        spans = sorted(plain_spans(t or ""))
+        joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        expected.append((i, *(sum(k == x for k, _, _ in spans) for x in range(4)), hashlib.sha256(joined.encode()).hexdigest()))
+    out = rows(pii.op6_pii(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"))
+    assert sorted(repr(tuple(r.values())) for r in out) == sorted(map(repr, expected))
+
+
 def test_bootstrapped_contexts(spark, odd, empty):
     texts = [f"some text {k} call hotline at number +1 (5{k:02d}) 555-01{k:02d} today" for k in range(30)]
     docs = make(spark, [*texts, "w w call hotline at number 5550199777 today", "order number 5550199779 shipped", None, ""])
