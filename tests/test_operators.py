@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bytestrata.functions import checksums, formatting
 from bytestrata.operators import analysis, byte_transforms, codecs, profile, segment, verify
+from bytestrata.plans import codec_queries
 from bytestrata.sources import sinks
 from bytestrata.sources.catalog import ScanOptions, host_info, listing, listing_columns, scan_files
 from bytestrata.streaming import events
@@ -179,6 +181,18 @@ def test_blocks_table(spark, tmp_path):
     assert {r.doc_id: bytes(r.payload) for r in codecs.decoded(blocks, codecs.CODECS["rle"]).collect()} == {1: b"a" * 1000, 2: b"abc", 3: b""}
 
 
+def test_round_trip_gain_is_the_codecs_own(spark, tmp_path):
+    """One block that run lengths make smaller does not outweigh those that they make larger; every block comes back, null as empty."""
+    texts = [*(f"aaa bbb {k} ccc ddd eee fff" for k in range(50)), "x" * 40, "", None]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, smaller in (("rle", False), ("stored", False), ("bwt", True)):
+        docs = str(tmp_path) if name != "bwt" else "/root/testdata/sf0.001"
+        out = codec_queries.QUERIES[f"{name}_roundtrip"](spark, docs).collect()
+        assert {r.smaller for r in out} == {smaller}
+        if name != "bwt":
+            assert {r.doc_id: (r.raw_length, r.sha256) for r in out} == {k: (len(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for k, t in enumerate(texts)}
+
+
 def test_listing_order(spark):
     rows = [("b/z.txt", 5), ("a/y.md", 9), ("a/x.txt", 5), ("c", 1)]
     entries = spark.createDataFrame(rows, "path string, size long")
