@@ -9,8 +9,10 @@ alignment that can).
 A bucket of m texts is not made into m * m pairs. Each text is compared with the bucket's hub, the text that shares most slots with
 others, which settles all but few buckets. In those that still hold more than one class, every text outside the hub's class is held
 against all others by their signatures (LEAST_KMERS bytes), and only pairs that agree in AGREE slots and at least
-ESTIMATE of the signature go on to the alignment. A bucket of more than GROUP texts is dealt into parts of about GROUP, and a task holds
-two of them, so that each pair is met in a task. A pair at the threshold agrees in no slot with a chance of
+ESTIMATE of the signature go on to the alignment. The task that finds them aligns them, nearest first, and leaves out pairs whose
+classes have become one by then; so it returns fewer links than it has classes, however many pairs are near. A bucket of more than GROUP
+texts (fewer where they are long: about PART_KMERS k-mers) is dealt into parts of about GROUP, and a task holds two of them, so that each
+pair is met in a task. A pair at the threshold agrees in no slot with a chance of
 (1 - 0.8 ** TAKEN) ** SLOTS = 1e-5, in fewer than AGREE with 2e-4, and falls under ESTIMATE with 7e-4. Classes are the connected
 components of the links.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import string
 from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ KMER, THRESHOLD = 5, 0.8
 SLOTS, TAKEN, AGREE = 16, 3, 2
 #: Bytes of a signature, least share of them for a candidate, and texts of a part of a bucket.
 LEAST_KMERS, ESTIMATE, GROUP = 256, 0.72, 2048
+#: K-mers of a part of a bucket; k-mers that a task holds unpacked at a time.
+PART_KMERS, UNPACKED = 1 << 22, 1 << 22
 #: K-mers hashed at a time.
 BLOCK = 1 << 15
 BASE = 0xD6E8FEB86659FD93
@@ -166,7 +171,10 @@ def packed_words(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar; b is the hub."""
+    """The pairs (a, b) that are similar; b is the hub. Of pairs that _compared has found, as many as make their classes one."""
+    tasks = pairs.__dict__.get("_tasks")
+    if tasks is not None:
+        return tasks.applyInArrow(_links, "a long, b long")
 
     def f(a: list, b: list, of_a: list, of_b: list) -> dict:
         unpack, last, found = zstandard.ZstdDecompressor().decompress, (None, None), {"a": [], "b": []}
@@ -212,52 +220,101 @@ def _main_labels(hubs: DataFrame, labels: DataFrame) -> DataFrame:
     return hubs.join(labels.select(F.col("rep").alias("hub"), F.col("label").alias("main")), "hub").select("bucket", "main")
 
 
-def _candidates(rows: pa.Table) -> pa.Table:
-    """Pairs of one task, of different classes, of a text on the left and one on the right, that are near by their signatures."""
-    rep, n = rows.column("rep").to_numpy(), rows.column("n").to_numpy()
-    _, label = np.unique(rows.column("label").to_numpy(), return_inverse=True)
-    left, right = (np.flatnonzero(rows.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+def _near(rows: pa.Table, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of pairs of one task, a text on the left and one on the right, that are near by their signatures, block by block and
+    nearest first within one. Their labels differ when the block begins; `label` may change between blocks."""
+    n = rows.column("n").to_numpy()
+    on_left, on_right = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+    left, right = np.flatnonzero(on_left), np.flatnonzero(on_right)
     slot = int(rows.column("slot")[0].as_py())
     slots = np.array(rows.column("slots").to_pylist(), np.int64)
-    signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(len(rep), LEAST_KMERS)
-    found = []
+    signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(len(n), LEAST_KMERS)
     for at in range(0, len(left), 128):
         own = left[at : at + 128]
         agree = np.zeros((len(own), len(right)), np.uint8)
         fits = (label[own][:, None] != label[right]) & (np.minimum(n[own][:, None], n[right]) >= THRESHOLD * np.maximum(n[own][:, None], n[right]))
+        fits &= (own[:, None] < right) | ~(on_right[own][:, None] & on_left[right])  # two texts of both sides meet once
         for k in range(SLOTS):
             same = slots[own, k][:, None] == slots[right, k]
             if k < slot:
                 fits &= ~same  # the pair is met in the bucket of that slot, which is compared whole however large
             agree += same
         i, j = np.nonzero(fits & (agree >= AGREE))
-        for part in range(0, len(i), 1 << 15):
-            x, y = own[i[part : part + (1 << 15)]], right[j[part : part + (1 << 15)]]
-            near = (signs[x] == signs[y]).sum(1) >= ESTIMATE * LEAST_KMERS
-            found.append(np.stack([np.minimum(rep[x[near]], rep[y[near]]), np.maximum(rep[x[near]], rep[y[near]])]))
-    both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+        alike = np.concatenate([np.zeros(0, np.int64), *((signs[own[i[p : p + (1 << 15)]]] == signs[right[j[p : p + (1 << 15)]]]).sum(1) for p in range(0, len(i), 1 << 15))])
+        order = np.argsort(-alike, kind="stable")[: int((alike >= ESTIMATE * LEAST_KMERS).sum())]
+        yield own[i[order]], right[j[order]]
+
+
+def _pair_table(pairs: Iterable[tuple[int, int]]) -> pa.Table:
+    both = np.array(sorted({(min(x), max(x)) for x in pairs}), np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+
+def _classes(rows: pa.Table) -> np.ndarray:
+    return np.unique(rows.column("label").to_numpy(), return_inverse=True)[1]
+
+
+def _candidates(rows: pa.Table) -> pa.Table:
+    """All pairs of one task that are near by their signatures and of different classes."""
+    rep = rows.column("rep").to_numpy()
+    return _pair_table((int(a), int(b)) for x, y in _near(rows, _classes(rows)) for a, b in zip(rep[x], rep[y], strict=True))
+
+
+def _links(rows: pa.Table) -> pa.Table:
+    """Similar pairs of one task that make one class of all that its candidates connect, a tree of them."""
+    rep, words, label = rows.column("rep").to_numpy(), rows.column("words"), _classes(rows)
+    unpack, held_kmers, kept = zstandard.ZstdDecompressor().decompress, 0, {}
+    root = [*range(int(label.max()) + 1)]
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def kmers(k: int) -> np.ndarray:
+        nonlocal held_kmers
+        if k not in kept:
+            own = labelled(unpack(words[k].as_py()).split())
+            if held_kmers + len(own) > UNPACKED:
+                kept.clear()
+                held_kmers = 0
+            kept[k] = own
+            held_kmers += len(own)
+        return kept[k]
+
+    found = []
+    for x, y in _near(rows, label):
+        before = len(found)
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = find(label[i]), find(label[j])
+            if a != b and similarity(kmers(i), kmers(j)):
+                root[max(a, b)] = min(a, b)
+                found.append((int(rep[i]), int(rep[j])))
+        if len(found) > before:
+            label[:] = np.array([find(k) for k in range(len(root))])[label]
+    return _pair_table(found)
 
 
 def _settle(members: DataFrame, hubs: DataFrame, labels: DataFrame, words: DataFrame, group: int = GROUP) -> DataFrame:
     """labels after the pairs in buckets that are not of one class have been compared."""
     main = _main_labels(hubs, labels)
     open_buckets = cut(members.select("bucket", "rep").join(labels, "rep").join(main, "bucket").filter("label != main").groupBy("bucket").agg(F.first("main").alias("main")))
-    rest = cut(members.join(open_buckets, "bucket").join(labels, "rep").select("bucket", "slot", "rep", "label", (F.col("label") != F.col("main")).alias("open")))
+    rest = cut(members.join(open_buckets, "bucket").join(labels, "rep").select("bucket", "slot", "rep", "n", "label", (F.col("label") != F.col("main")).alias("open")))
     if rest.isEmpty():
         return labels
 
     def signs(rep: list, packed: list) -> dict:
         unpack = zstandard.ZstdDecompressor().decompress
-        return {"rep": rep, "sign": [signature(labelled(unpack(w).split())) for w in packed]}
+        return {"rep": rep, "sign": [signature(labelled(unpack(w).split())) for w in packed], "words": packed}
 
-    schema = pa.schema([("rep", pa.int64()), ("sign", pa.binary())])
-    drawn = words.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "words").mapInArrow(rows_udf(["rep", "words"], schema, signs), "rep long, sign binary")
-    known = members.groupBy("rep").agg(F.first("n").alias("n"), F.first("slots").alias("slots"))
-    known = cut(known.join(drawn, "rep"))
-    pairs = cut(_compared(rest, known, group).distinct())
+    schema = pa.schema([("rep", pa.int64()), ("sign", pa.binary()), ("words", pa.binary())])
+    drawn = words.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "words").mapInArrow(rows_udf(["rep", "words"], schema, signs), "rep long, sign binary, words binary")
+    known = cut(members.groupBy("rep").agg(F.first("slots").alias("slots")).join(drawn, "rep"))
+    links = cut(verified(_compared(rest, known, group), words))
     discard(rest, known, open_buckets)
-    return _joined(labels, verified(pairs, words))
+    joined = _joined(labels, links)
+    discard(links)
+    return joined
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -267,10 +324,14 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _compared(rest: DataFrame, known: DataFrame, group: int) -> DataFrame:
-    """Candidates (a, b) among all pairs with an open text in the buckets of `rest`; a task holds two parts of a bucket, low <= high."""
-    sized = cut(rest.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("open").alias("opens")))
+    """Candidates (a, b) among all pairs with an open text in the buckets of `rest`; a task holds two parts of a bucket, low <= high. The
+    pairs, which may grow with the square of a bucket, are made only for who asks for them; verified() asks the tasks for links."""
+    sized = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("open").alias("opens"), F.sum("n").alias("kmers"))
+    each = F.least(F.lit(group), F.greatest(F.lit(1), F.floor(PART_KMERS * F.col("size") / F.greatest("kmers", F.lit(1)))))
+    sized = cut(sized.withColumn("group", each))
+    group = F.col("group")
     small = rest.join(sized.filter(F.col("size") <= group).select("bucket"), "bucket")
-    small = small.select("bucket", F.lit(0).alias("low"), F.lit(0).alias("high"), "slot", "rep", "label", F.col("open").alias("left"), F.lit(True).alias("right"))
+    small = small.select("bucket", F.lit(0).alias("low"), F.lit(0).alias("high"), "slot", "rep", "n", "label", F.col("open").alias("left"), F.lit(True).alias("right"))
     # open texts are dealt into the parts before `opened`, the others into those from there to `parts`
     opened = F.ceil(F.col("opens") / group).cast("int")
     parts = (opened + F.ceil((F.col("size") - F.col("opens")) / group)).cast("int")
@@ -279,9 +340,11 @@ def _compared(rest: DataFrame, known: DataFrame, group: int) -> DataFrame:
     # an open text meets every part, another one the parts of open texts
     met = F.explode(F.sequence(F.lit(0), F.when(F.col("open"), F.col("parts")).otherwise(F.col("opened")) - 1))
     large = large.withColumn("own", own.cast("int")).withColumn("met", met)
-    large = large.select("bucket", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "slot", "rep", "label", (F.col("own") <= F.col("met")).alias("left"), (F.col("own") >= F.col("met")).alias("right"))
-    tasks = small.unionByName(large).join(known, "rep").select("bucket", "low", "high", "slot", "rep", "n", "label", "left", "right", "slots", "sign")
-    return tasks.groupBy("bucket", "low", "high").applyInArrow(_candidates, "a long, b long")
+    large = large.select("bucket", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "slot", "rep", "n", "label", (F.col("own") <= F.col("met")).alias("left"), (F.col("own") >= F.col("met")).alias("right"))
+    tasks = small.unionByName(large).join(known, "rep").select("bucket", "low", "high", "slot", "rep", "n", "label", "left", "right", "slots", "sign", "words").groupBy("bucket", "low", "high")
+    pairs = tasks.applyInArrow(_candidates, "a long, b long")
+    pairs.__dict__["_tasks"] = tasks
+    return pairs
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -438,6 +438,26 @@ def test_pairs_of_small_buckets_that_share_a_large_one(spark, monkeypatch):
     assert len(pairs) > 5 and seen == set(pairs)
 
 
+def test_links_of_a_bucket_are_a_forest(spark, monkeypatch):
+    """A bucket of texts that are nearly all similar, each a class of its own: the links are fewer than the texts, and the classes whole."""
+    texts, real, counts = family(1, 59, 3), near_dup.verified, []
+
+    def counted(pairs, words):
+        links = real(pairs, words).toPandas()
+        counts.append(len(links))
+        return spark.createDataFrame(links, "a long, b long")
+
+    kmers = [near_dup.labelled(near_dup.normal_words(t)) for t in texts]
+    for group in (2048, 20):
+        members = spark.createDataFrame([(3, 0, k, len(kmers[k]), [*range(near_dup.SLOTS)]) for k in range(60)], "bucket long, slot int, rep long, n long, slots array<long>")
+        packed = {bytes(r.words_key): bytes(r.words) for r in near_dup.packed_words(make(spark, texts)).collect()}
+        packed = spark.createDataFrame([(k, packed[near_dup._key(near_dup.normal_words(t), t)]) for k, t in enumerate(texts)], "rep long, words binary")
+        monkeypatch.setattr(near_dup, "verified", counted)
+        labels = near_dup._settle(members, spark.createDataFrame([(3, 0)], "bucket long, hub long"), spark.createDataFrame([(k, k) for k in range(60)], "rep long, label long"), packed, group=group)
+        assert {r.rep: r.label for r in labels.collect()} == brute_classes(dict(enumerate(texts)))
+    assert counts[0] < 60 and counts[1] < 6 * 40
+
+
 def test_near_rows(odd, empty):
     out = rows(near_dup.near_duplicates(odd))
     assert len(out) == odd.count() and sum(r["class_id"] == 4 for r in out) == 3
