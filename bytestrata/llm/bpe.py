@@ -16,9 +16,11 @@ named pass by unread, and the result has only the documented columns.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -81,6 +83,12 @@ class WordEncoder:
         for t, r in self.rank.items():
             self.automaton.add_word(t, r)
         self.automaton.make_automaton()
+        # the longest entry that begins each string of the automaton's trie, -1 where there is none
+        self.begins = {"": -1}
+        for t in sorted(self.rank):
+            for n in range(1, len(t) + 1):
+                if t[:n] not in self.begins:
+                    self.begins[t[:n]] = self.rank.get(t[:n], self.begins[t[: n - 1]])
         self.compatible = functools.lru_cache(200_000)(self._compatible)
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -130,33 +138,40 @@ class WordEncoder:
     def longest(self, s: str, at: int) -> int:
         """The longest entry that starts at a position, or -1: the automaton's trie says how far any entry goes on with these symbols."""
         s = s[at : at + self.widest]
-        for n in range(self.automaton.longest_prefix(s), 0, -1):
-            r = self.rank.get(s[:n])
-            if r is not None:
-                return r
-        return -1
+        return self.begins[s[: self.automaton.longest_prefix(s)]]
 
     def walk(self, s: str, n: int, out: list[int], at: int, r: int) -> None:
         """Go on from the entries in out, which end at a position, with the entry r or shorter ones, and steps back; no position is left twice."""
-        length, shorter, compatible = self.length, self.shorter, self.compatible
-        alive = bytearray(b"\1") * (n + 1)
-        alive[n - 1] = 0  # the end mark belongs to the last symbol
+        length, shorter, compatible, begins, reach, widest = self.length, self.shorter, self.compatible, self.begins, self.automaton.longest_prefix, self.widest
+        dead = {n - 1}  # the end mark belongs to the last symbol
         while True:
-            while r >= 0 and not (alive[at + length[r]] and (not out or compatible(out[-1], r))):
+            last = out[-1] if out else -1
+            while r >= 0 and (at + length[r] in dead or last >= 0 and not compatible(last, r)):
                 r = shorter[r]
             if r >= 0:
                 out.append(r)
                 at += length[r]
                 if at == n:
                     return
-                r = self.longest(s, at)
+                rest = s[at : at + widest]
+                r = begins[rest[: reach(rest)]]
             else:
-                alive[at] = 0
+                dead.add(at)
                 r = out.pop()
                 at -= length[r]
                 r = shorter[r]
 
 
+class Memo(dict):
+    """Ids of the pieces that were seen; others are made when they are asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.make(piece)
+
+
 class Codec:
     """encode(text) -> ids as little-endian unsigned 32-bit bytes; decode(ids) -> UTF-8 bytes."""
 
@@ -171,8 +186,7 @@ class Codec:
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.as_bytes = str.maketrans({b: c for b, c in enumerate(self.alphabet)})
         # a memo of two generations: when one is full it becomes the old one, and what is still met moves over
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo, self.old = Memo(self.piece), Memo(self.piece)
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
         strings = [b""] * size
         for t, i in [*model["vocab"].items(), *self.special.items()]:
@@ -186,38 +200,38 @@ class Codec:
         normal = self.library.normalizer.normalize_str(text)
         return b"".join(self.words.encode(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
 
+    def word(self, word: str) -> bytes:
+        """A word as the pre-tokenizer leaves it."""
+        return self.words.encode(word if word.isascii() else word.encode().decode("latin-1").translate(self.as_bytes))
+
     def piece(self, piece: str) -> bytes:
         """A piece of text without white space, or a word of one: a word by itself is a piece of one word."""
         ids = self.old.get(piece)
         if ids is None:
             known = self.memo.get
-            if piece.isascii() and piece.isalpha():
-                ids = self.words.encode(piece) if piece.islower() else known(w := piece.lower()) or self.piece(w)
-            elif piece[-1] in ".,;:!?" and (w := piece[:-1]).isascii() and w.isalpha():
+            if piece.isalpha() and (piece.isascii() or LATIN.fullmatch(piece)):
+                ids = self.word(piece) if piece.islower() else known(w := piece.lower()) or self.piece(w)
+            elif piece[-1] in ".,;:!?" and (w := piece[:-1]).isalpha() and (w.isascii() or LATIN.fullmatch(w)):
                 w, mark = w.lower(), piece[-1]
                 ids = (known(w) or self.piece(w)) + (known(mark) or self.piece(mark))
             elif LATIN.fullmatch(piece):
                 words = LATIN_WORDS.findall(piece.lower())
                 if words == [piece]:
-                    ids = self.words.encode(piece.encode().decode("latin-1").translate(self.as_bytes))
+                    ids = self.word(piece)
                 else:
                     ids = b"".join([known(w) or self.piece(w) for w in words])
             else:
                 ids = self.split(piece)
         if len(piece) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO:
-                self.old, self.memo = self.memo, {}
+                self.old, self.memo = self.memo, Memo(self.piece)
             self.memo[piece] = ids
         return ids
 
     def plain(self, text: str) -> bytes:
         if any(c in text for c in SEPARATORS):
             return self.split(text)
-        pieces = text.split()
-        found = [*map(self.memo.get, pieces)]
-        if None in found:
-            found = [self.piece(p) if x is None else x for p, x in zip(pieces, found, strict=True)]
-        return b"".join(found)
+        return b"".join(map(self.memo.__getitem__, text.split()))
 
     def encode(self, text: str) -> bytes:
         if "<|" in text and self.special_pattern.search(text):
@@ -235,8 +249,14 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    """One codec a process."""
-    return held(("codec", path), lambda: Codec(path))
+    """One codec a process. Its tables stay as they are, so the collector of cycles need not go through them again and again."""
+
+    def make() -> Codec:
+        made = Codec(path)
+        gc.freeze()
+        return made
+
+    return held(("codec", path), make)
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

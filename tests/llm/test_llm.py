@@ -78,6 +78,20 @@ def test_bpe_memo_generations(monkeypatch):
         assert np.frombuffer(c.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
 
 
+def test_latin_words_need_no_pattern(monkeypatch):
+    """Words with accents, in capitals or with one mark behind them, are taken whole; the ids are the library's."""
+    c, t = bpe.Codec(PATH), Tokenizer.from_file(PATH)
+    text = "équele queanque, Èoien. ÉLLEÇELLE! œuvre; straße? mañana: naïf"
+    want = t.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "LATIN_WORDS", re.compile("(?!)"))  # finds nothing
+    c.memo.update({m: np.array(t.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"})
+    assert np.frombuffer(c.encode(text), "<u4").tolist() == want
+    for s in ("aeiouvi", "elletrere", "x" * 50):
+        for at in range(len(s)):
+            starts = [s[at:n] for n in range(at + 1, len(s) + 1) if s[at:n] in c.words.rank]
+            assert c.words.longest(s, at) == (c.words.rank[starts[-1]] if starts else -1)
+
+
 def test_bpe_rows(odd, empty):
     out = rows(bpe.round_trip(odd, PATH))
     assert len(out) == odd.count() and {r["n_tokens"] for r in out if r["doc_id"] in (0, 1, 2, 3)} == {0}
