@@ -12,8 +12,9 @@ from bytestrata.functions.checksums import crc64_combine
 
 
 def merge_runs(slices: DataFrame) -> DataFrame:
-    """(name, run_no, off, len, pieces): contiguous pieces of a name joined, gaps kept apart; pieces must not overlap."""
-    w = Window.partitionBy("name").orderBy("off", "len")
+    """(name, run_no, off, len, pieces): contiguous pieces of a name joined, gaps kept apart; pieces of unknown offset come last. A run
+    goes on only from the piece before. Both windows read one sort, so of pieces with equal offset and length the first goes on, the rest open runs."""
+    w = Window.partitionBy("name").orderBy(F.col("off").asc_nulls_last(), F.col("len").asc_nulls_last())
     marked = slices.withColumn("new", F.when(F.col("off") == F.lag(F.col("off") + F.col("len")).over(w), 0).otherwise(1))
     numbered = marked.withColumn("run_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("name", "run_no").agg(F.min("off").alias("off"), F.sum("len").alias("len"), F.count(F.lit(1)).alias("pieces"))
